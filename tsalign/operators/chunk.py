@@ -70,11 +70,11 @@ def row_index(
     plus the rows in earlier partitions.
     """
     placed = arrange(df, by, order)
-    parts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(by, "_part")), F.lit(0)))
+    parts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_in_part"), F.min("_place").alias("_first"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_in_part").over(_earlier(by, "_part")), F.lit(0)))
     if total:
-        parts = parts.withColumn(total, F.sum("_n").over(Window.partitionBy(*by)))
-    parts = durable(parts.drop("_n"), "parts")
+        parts = parts.withColumn(total, F.sum("_in_part").over(Window.partitionBy(*by)))
+    parts = durable(parts.drop("_in_part"), "parts")
     indexed = placed.join(parts, [*by, "_part"])
     keep = [*df.columns, *([total] if total else [])]
     return indexed.select(*keep, (F.col("_place") - F.col("_first") + F.col("_before")).alias(name))
@@ -95,12 +95,12 @@ def grid_index(
     units (hours, days, an earlier index), not raw epochs, so chunks are full.
     """
     chunked = df.withColumn("_chunk", chunk_of(pos, rows))
-    sizes = chunked.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(by, "_chunk")), F.lit(0)))
+    sizes = chunked.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_in_chunk"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in_chunk").over(_earlier(by, "_chunk")), F.lit(0)))
     if total:
-        sizes = sizes.withColumn(total, F.sum("_n").over(Window.partitionBy(*by)))
+        sizes = sizes.withColumn(total, F.sum("_in_chunk").over(Window.partitionBy(*by)))
     within = Window.partitionBy(*by, "_chunk").orderBy(pos)
-    indexed = chunked.join(sizes.drop("_n"), [*by, "_chunk"])
+    indexed = chunked.join(sizes.drop("_in_chunk"), [*by, "_chunk"])
     keep = [c for c in df.columns if c not in (name, total)]
     extra = [total] if total else []
     return indexed.select(*keep, *extra, (F.row_number().over(within) - 1 + F.col("_before")).alias(name))

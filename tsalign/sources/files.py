@@ -61,15 +61,15 @@ def _numbers(cols: Sequence[str]) -> list[Column]:
     return [to_numeric(F.col(c)).alias(c) for c in cols]
 
 
-def read_klines(spark: SparkSession, path: str, for_indicators: bool = False) -> DataFrame:
-    """Bars from a header CSV, sorted by time.
+def read_klines(spark: SparkSession, path: str, for_indicators: bool = False, ordered: bool = True) -> DataFrame:
+    """Bars from a header CSV, sorted by time unless ``ordered`` is off.
 
-    The indicator path takes ``datetime`` before ``timestamp`` and keeps file order.
+    The indicator path takes ``datetime`` before ``timestamp`` and does not sort.
     """
     raw = read_csv(spark, path)
     stamp = _names(raw, "datetime", "timestamp") if for_indicators else _names(raw, "timestamp")
     bars = raw.select(parse_iso(F.col(stamp)).alias("timestamp"), *_numbers(BARS))
-    return bars if for_indicators else bars.orderBy("timestamp")
+    return bars.orderBy("timestamp") if ordered and not for_indicators else bars
 
 
 def read_klines_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -82,10 +82,9 @@ def read_klines_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
 
 def month_paths(df: DataFrame, start: Column, end: Column, template: str) -> DataFrame:
     """One row per input row and month from ``start`` to ``end``: ``month`` as ``YYYY-MM`` and its path."""
-    months = F.explode(F.sequence(start.cast("date"), end.cast("date"), F.expr("interval 1 month")))
-    return df.select("*", F.date_format(months, "yyyy-MM").alias("month")).withColumn(
-        "path", F.format_string(template, "month")
-    )
+    firsts = F.sequence(start.cast("date"), end.cast("date"), F.expr("interval 1 month"))
+    months = df.select("*", F.explode(firsts).alias("month")).withColumn("month", F.date_format("month", "yyyy-MM"))
+    return months.withColumn("path", F.format_string(template, "month"))
 
 
 def read_monthly(spark: SparkSession, folder: str, prefix: str, start: str, end: str) -> DataFrame:
@@ -106,14 +105,19 @@ def read_funding(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_fear_greed_json(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Index payload to rows: defaults for absent fields, inclusive date filter, sorted."""
+def read_fear_greed_json(
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None, multiline: bool = True
+) -> DataFrame:
+    """Index payload to rows: defaults for absent fields, inclusive date filter, sorted.
+
+    One payload per file, or one per line with ``multiline=False``.
+    """
     text = T.StringType()
     entry = T.StructType(
         [T.StructField(c, text) for c in ("timestamp", "value", "value_classification", "time_until_update")]
     )
     schema = T.StructType([T.StructField("data", T.ArrayType(entry))])
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=multiline)
     entries = raw.select(
         F.explode(
             F.when(F.col("data").isNull(), F.raise_error(F.lit("payload has no data field"))).otherwise(F.col("data"))
@@ -173,16 +177,23 @@ def read_news(spark: SparkSession, path: str, multiline: bool = True) -> DataFra
     )
 
 
-def read_posts_json(spark: SparkSession, path: str, subreddit: str, default_ts: Column | None = None) -> DataFrame:
+_LISTING = """data struct<after: string, children: array<struct<data: struct<
+    title: string, selftext: string, created_utc: double, url: string,
+    score: bigint, num_comments: bigint, author: string>>>>"""
+
+
+def read_posts_json(
+    spark: SparkSession, path: str, subreddit: str, default_ts: Column | None = None, multiline: bool = True
+) -> DataFrame:
     """Listing pages to posts: cleaned texts, hour, assets, hash; posts without text are skipped."""
-    post = "title string, selftext string, created_utc double, url string, score long, num_comments long, author string"
-    schema = f"data struct<after: string, children: array<struct<data: struct<{post.replace(' ', ': ').replace(',:', ',')}>>>>"
-    pages = spark.read.schema(schema).json(path, multiLine=True)
+    pages = spark.read.schema(_LISTING).json(path, multiLine=multiline)
     posts = pages.select(F.explode("data.children.data").alias("p"))
     created = F.when(F.col("p.created_utc") != 0, F.timestamp_seconds(F.col("p.created_utc")))
     cleaned = posts.select(
-        "p", floor_hour(created, default_ts).alias("timestamp"),
-        clean_text(F.col("p.title")).alias("title"), clean_text(F.col("p.selftext")).alias("text"),
+        "p",
+        floor_hour(created, default_ts).alias("timestamp"),
+        clean_text(F.col("p.title")).alias("title"),
+        clean_text(F.col("p.selftext")).alias("text"),
     ).withColumn("combined_text", combine_post_text(F.col("title"), F.col("text")))
     return cleaned.where(F.col("combined_text") != "").select(
         "timestamp",
