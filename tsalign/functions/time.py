@@ -11,6 +11,11 @@ def floor_hour(ts: Column, default_ts: Column | None = None) -> Column:
     return F.date_trunc("hour", ts if default_ts is None else F.coalesce(ts, default_ts))
 
 
+def hour_number(ts: Column | str) -> Column:
+    """Whole hours since the epoch: the unit of an hourly series' grid."""
+    return F.floor(F.unix_seconds(ts) / 3600)
+
+
 def parse_iso(c: Column) -> Column:
     """ISO text, naive read as session time (UTC); unparsable text gives NULL."""
     return F.try_to_timestamp(c)

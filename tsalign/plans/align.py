@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsalign.functions.time import hour_number
 from tsalign.operators.asof import asof_backward
 from tsalign.operators.chunk import CHUNK_ROWS, grid_index
 from tsalign.operators.durable import durable
@@ -26,8 +27,6 @@ from tsalign.operators.texts import hourly_text
 from tsalign.session import use_utc
 from tsalign.sources import files
 
-HOUR = F.floor(F.unix_seconds("timestamp") / 3600)
-
 
 @dataclass(frozen=True)
 class Sources:
@@ -90,7 +89,7 @@ def align(
     by = ["asset"]
     use_utc(s.klines.sparkSession)
     edge = lambda t: F.lit(t).cast("timestamp")
-    joined = filter_time_range(joined_sources(s), edge(start), edge(end)).withColumn("_hour", HOUR)
+    joined = filter_time_range(joined_sources(s), edge(start), edge(end)).withColumn("_hour", hour_number("timestamp"))
     indexed = durable(grid_index(joined, by, "_hour", "_at", rows=rows), "joined")
     labelled = target_score(indexed, by, "_at", "close", horizon, window, mode, rows=rows)
     labelled = labelled.withColumns(

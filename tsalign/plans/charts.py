@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.functions.time import hour_number
 from tsalign.operators.chunk import CHUNK_ROWS, grid_index
 from tsalign.operators.durable import durable
 from tsalign.operators.filters import drop_any_null, image_key, require_columns
@@ -22,7 +23,7 @@ def chart_windows(
     """``(asset, timestamp, unix_ts, image_path, candles)`` for every row with a complete indicator set."""
     by = list(by)
     require_columns(klines, [*by, *CANDLE[:6]])
-    hour = F.floor(F.unix_seconds("timestamp") / 3600)
+    hour = hour_number("timestamp")
     indexed = durable(grid_index(klines.select(*by, *CANDLE[:6], hour.alias("_hour")), by, "_hour", rows=rows), "bars")
     ready = drop_any_null(indicators(indexed, by, "row_idx", rows=rows), CANDLE)
     windows = candle_windows(grid_index(ready, by, "row_idx", "_at", rows=rows), by, "_at", CANDLE, size, rows=rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsalign.functions.time import hour_number
 from tsalign.operators.chunk import grid_index
 from tsalign.session import use_utc
 
@@ -37,7 +38,7 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
             F.max_by("value", last).alias("close"),
             F.count(F.lit(1)).alias("volume"),
         )
-        .withColumn("hour_no", F.floor(F.unix_seconds("timestamp") / 3600))
+        .withColumn("hour_no", hour_number("timestamp"))
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.functions.time import hour_number
 from tsalign.operators.chunk import CHUNK_ROWS, grid_index
 from tsalign.operators.durable import durable
 from tsalign.operators.profile import (
@@ -49,7 +50,7 @@ def verify_dataset(
     nulls, bounds, gaps and embargo carry their own rule. The table is written
     once, since ten passes read it.
     """
-    hour = F.floor(F.unix_seconds("timestamp") / 3600)
+    hour = hour_number("timestamp")
     columns = ["asset", "split", "timestamp", text, *dict.fromkeys([*features, target]), *([image] if image else [])]
     df = durable(df.select(*columns, hour.alias("_hour")), "published")
     train = df.where(F.col("split") == "train")
