@@ -16,7 +16,9 @@ ASSET_PATTERNS = {
 # U+001C..U+001F count as white space besides the Unicode set behind (?U)\s.
 _URL = r"(?U)https?://[^\s\x1c-\x1f]+|www\.[^\s\x1c-\x1f]+"
 _NON_ASCII = r"[^\x00-\x7F]"
-_BLANKS = r"[\s\x1c-\x1f]+"
+# Runs of blanks that are not already one plain space, so most spaces are left alone.
+_BLANKS = r" [\s\x1c-\x1f]+|[\t-\r\x1c-\x1f][\s\x1c-\x1f]*"
+_TOKEN = r"[^\s\x1c-\x1f]+"
 
 
 def clean_text(c: Column) -> Column:
@@ -35,17 +37,19 @@ def combine_news_text(title: Column, body: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
 
 
-def detect_assets(c: Column, patterns: Mapping[str, Sequence[str]] = ASSET_PATTERNS) -> Column:
-    """Sorted array of the assets any of whose word patterns occurs in the lower-cased text."""
+def _asset_hits(c: Column, patterns: Mapping[str, Sequence[str]]) -> list[Column]:
     low = F.lower(c)
-    hits = [F.when(low.rlike("(?U)" + "|".join(p)), F.lit(a)) for a, p in sorted(patterns.items())]
-    return F.array_compact(F.array(*hits))
+    return [F.when(low.rlike("|".join(words)), F.lit(asset)) for asset, words in sorted(patterns.items())]
+
+
+def detect_assets(c: Column, patterns: Mapping[str, Sequence[str]] = ASSET_PATTERNS) -> Column:
+    """Sorted array of the assets any of whose word patterns occurs in the lower-cased (clean) text."""
+    return F.array_except(F.array(*_asset_hits(c, patterns)), F.array(F.lit(None).cast("string")))
 
 
 def asset_list(c: Column, patterns: Mapping[str, Sequence[str]] = ASSET_PATTERNS) -> Column:
     """The detected assets joined by commas, ``'OTHER'`` when there are none."""
-    found = detect_assets(c, patterns)
-    return F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise("OTHER")
+    return F.regexp_replace(F.concat_ws(",", *_asset_hits(c, patterns)), "^$", "OTHER")
 
 
 def text_hash(c: Column) -> Column:
@@ -55,5 +59,4 @@ def text_hash(c: Column) -> Column:
 
 def token_count(c: Column) -> Column:
     """White-space separated tokens; 0 for blank text."""
-    bare = F.trim(F.regexp_replace(c, _BLANKS, " "))
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, " ")))
+    return F.regexp_count(c, F.lit(_TOKEN))

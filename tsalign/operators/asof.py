@@ -37,7 +37,7 @@ def asof_backward(
     values = list(values) if values else [c for c in right.columns if c not in (on, *by, *order)]
     rank = [f"_rank_{i}" for i in range(len(order))]
 
-    rights = right.where(F.col(on).isNotNull()).select(
+    rights = right.na.drop(subset=[on, *by]).select(
         *by,
         F.col(on).alias("_on"),
         F.lit(0).alias("_side"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.functions.scalar import seeded_order
 from tsalign.functions.text import text_hash
 
 # Names tried in turn as the record key.
@@ -24,7 +25,7 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def random_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows that are the same on every run: the smallest seeded hashes of a unique key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded_order(F.col(key), seed), key).limit(n)
 
 
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -97,12 +97,17 @@ def encoder_of(dim: int = 256, seed: int = 42, max_tokens: int | None = None) ->
 
 
 def tabular_baseline(
-    train: DataFrame, test: DataFrame, features: Sequence[str] | str, target: str, kind: str = "linear"
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str] | str,
+    target: str,
+    kind: str = "linear",
+    rounds: int = 20,
 ) -> DataFrame:
     """Fit a regression on ``train`` and add ``prediction`` to ``test``.
 
     ``features`` are numeric columns or one array column; ``kind`` is
-    ``linear`` (closed-form, one pass) or ``trees`` (gradient boosting).
+    ``linear`` (closed-form, one pass) or ``trees`` (gradient boosting, ``rounds`` trees).
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -112,7 +117,7 @@ def tabular_baseline(
     if kind == "linear":
         model = LinearRegression(featuresCol="_x", labelCol=target, solver="normal")
     elif kind == "trees":
-        model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=20, seed=42)
+        model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, seed=42)
     else:
         raise ValueError(f"unknown kind: {kind}")
     return model.fit(ready(train)).transform(ready(test)).drop("_x")

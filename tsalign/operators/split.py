@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.functions.scalar import seeded_order
 from tsalign.operators.chunk import CHUNK_ROWS, grid_index, row_index
 
 # Split names of the published dataset.
@@ -89,7 +90,7 @@ def batches(
     if seed is None:
         indexed = grid_index(df, [], pos, "_at", total="_total", rows=rows)
     else:
-        keyed = df.withColumn("_key", F.xxhash64(F.col(pos), F.lit(seed)))
+        keyed = df.withColumn("_key", seeded_order(F.col(pos), seed))
         indexed = row_index(keyed, [], ["_key", pos], "_at", total="_total").drop("_key")
     out = indexed.withColumn("batch_idx", F.floor(F.col("_at") / F.lit(size)))
     if drop_last:

@@ -90,14 +90,15 @@ def align(
     use_utc(s.klines.sparkSession)
     edge = lambda t: F.lit(t).cast("timestamp")
     joined = filter_time_range(joined_sources(s), edge(start), edge(end)).withColumn("_hour", hour_number("timestamp"))
-    indexed = durable(grid_index(joined, by, "_hour", "_at", rows=rows), "joined")
+    # An index reads its input twice, so each is built over written files.
+    indexed = grid_index(durable(joined, "joined"), by, "_hour", "_at", rows=rows)
     labelled = target_score(indexed, by, "_at", "close", horizon, window, mode, rows=rows)
     labelled = labelled.withColumns(
         {"unix_ts": F.unix_seconds("timestamp"), "image_path": image_key("asset", "timestamp", image_folder)}
     )
     if s.manifest is not None:
         labelled = keep_with_asset_file(labelled, s.manifest, ["asset", "unix_ts"])
-    surviving = durable(grid_index(labelled, by, "_at", "row_idx", total="_total", rows=rows), "labelled")
+    surviving = grid_index(durable(labelled, "labelled"), by, "_at", "row_idx", total="_total", rows=rows)
     final = return_1h(surviving, by, "row_idx", rows=rows)
     zeros = {c: 0 for c in ("gdelt_econ_volume", "gdelt_econ_tone", "gdelt_conflict_volume")}
     split = label_split(fill_missing(final, zeros), "row_idx", "_total", train, validation, horizon)

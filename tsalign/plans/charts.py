@@ -25,7 +25,7 @@ def chart_windows(
     require_columns(klines, [*by, *CANDLE[:6]])
     hour = hour_number("timestamp")
     indexed = durable(grid_index(klines.select(*by, *CANDLE[:6], hour.alias("_hour")), by, "_hour", rows=rows), "bars")
-    ready = drop_any_null(indicators(indexed, by, "row_idx", rows=rows), CANDLE)
+    ready = durable(drop_any_null(indicators(indexed, by, "row_idx", rows=rows), CANDLE), "indicators")
     windows = candle_windows(grid_index(ready, by, "row_idx", "_at", rows=rows), by, "_at", CANDLE, size, rows=rows)
     return windows.select(
         *by,

@@ -65,8 +65,9 @@ SELECT asset, {STAMP} AS timestamp, idx AS row_idx, rate AS funding_rate, round(
 )
 def aligned_target_split(spark, folder):
     joined = asof_backward(bars(spark, folder), rates(spark, folder), "timestamp", values=["rate"], order=["event_id"])
-    indexed = durable(grid_index(joined, KEY, "hour_no"), "aligned")
-    labelled = target_score(indexed, KEY, "row_idx", pad=False)
+    # An index reads its input twice, so each is built over written files.
+    joined = durable(joined.select("asset", "timestamp", "hour_no", "close", "rate"), "joined")
+    labelled = durable(target_score(grid_index(joined, KEY, "hour_no"), KEY, "row_idx", pad=False), "labelled")
     final = grid_index(labelled, KEY, "row_idx", total="n_rows")
     split = label_split(return_1h(final, KEY, "row_idx", pad=False), "row_idx", "n_rows")
     return split.select(
@@ -277,7 +278,13 @@ def batches_query(spark, folder):
     return batches(predictions(spark, folder), "idx", 128, drop_last=True).select("idx", "batch_idx")
 
 
-@query("batches_shuffled")
+@query(
+    "batches_shuffled",
+    f"""WITH {PREDICTIONS},
+numbered AS (SELECT idx, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || idx), 1, 15))::BIGINT, idx) - 1 AS place,
+                    count(*) OVER () AS n FROM pred)
+SELECT idx, CAST(floor(place / 128) AS BIGINT) AS batch_idx FROM numbered WHERE floor(place / 128) < floor(n / 128)""",
+)
 def batches_shuffled(spark, folder):
     """The seeded shuffle of the training batches."""
     return batches(predictions(spark, folder).select("idx"), "idx", 128, drop_last=True, seed=42)
@@ -377,13 +384,37 @@ def candle_windows_query(spark, folder):
 
 @query(
     "indicator_windows",
+    f"""WITH RECURSIVE {DAILY},
+steps AS (SELECT *, coalesce(close - lag(close) OVER w, 0) AS s,
+   avg(close) OVER (PARTITION BY asset ORDER BY row_idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS ma7
+   FROM daily WINDOW w AS (PARTITION BY asset ORDER BY row_idx)),
+e AS (SELECT asset, row_idx, greatest(s, 0) AS up, greatest(-s, 0) AS down, close AS f, close AS g FROM steps WHERE row_idx = 0
+      UNION ALL
+      SELECT d.asset, d.row_idx, greatest(d.s, 0) / 14 + e.up * 13 / 14, greatest(-d.s, 0) / 14 + e.down * 13 / 14,
+             (2.0::DOUBLE / 13) * d.close + (1 - 2.0::DOUBLE / 13) * e.f, (2.0::DOUBLE / 27) * d.close + (1 - 2.0::DOUBLE / 27) * e.g
+      FROM e JOIN steps d ON d.asset = e.asset AND d.row_idx = e.row_idx + 1),
+ready AS (SELECT asset, row_idx, day, close, ma7, f - g AS macd,
+   CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi FROM e JOIN steps USING (asset, row_idx) WHERE row_idx >= 33),
+framed AS (SELECT asset, day, list(close) OVER w AS closes, avg(rsi) OVER w AS rsi, avg(macd) OVER w AS macd, avg(ma7) OVER w AS ma7
+   FROM ready WINDOW w AS (PARTITION BY asset ORDER BY row_idx ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
+SELECT asset, CAST(day AS VARCHAR) AS day, len(closes) AS n, round(rsi, 4) AS rsi, round(macd, 4) + 0.0 AS macd, round(ma7, 5) AS ma7
+FROM framed WHERE len(closes) >= 12""",
 )
 def indicator_windows(spark, folder):
     """Indicators on the whole series, warm-up rows dropped, then candle windows: the chart inputs."""
     ready = indicators(durable(indexed_daily(spark, folder), "daily"), KEY, "row_idx").na.drop("any")
-    ready = grid_index(ready, KEY, "row_idx", "at")
+    ready = grid_index(durable(ready, "indicators"), KEY, "row_idx", "at")
     cols = ["open", "high", "low", "close", "volume", "MA7", "MA25", "RSI", "MACD", "MACD_signal", "MACD_hist"]
-    return candle_windows(ready, KEY, "at", cols).select("asset", "day", "candles")
+    out = candle_windows(ready, KEY, "at", cols)
+    mean = lambda c: F.aggregate("candles", F.lit(0.0), lambda acc, x: acc + x[c]) / F.size("candles")
+    return out.select(
+        "asset",
+        F.col("day").cast("string").alias("day"),
+        F.size("candles").cast("long").alias("n"),
+        F.round(mean("RSI"), 4).alias("rsi"),
+        r(mean("MACD"), 4).alias("macd"),
+        F.round(mean("MA7"), 5).alias("ma7"),
+    )
 
 
 @query(

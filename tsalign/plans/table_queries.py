@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tsalign.operators.chunk import grid_index
+from tsalign.operators.durable import durable
 from tsalign.operators.joins import compare_to_claims
 from tsalign.operators.metrics import batch_mean_metrics, best_epoch, error_table, regression_metrics
 from tsalign.operators.profile import (
@@ -455,9 +457,9 @@ _VERIFY_ROWS = ", ".join(f"('{c}', '{s}', {v}::DOUBLE, {t}::DOUBLE)" for c, s, v
 
 def _published(spark, folder):
     """The bars as a published table: return, volume, target, text and split."""
-    indexed = chronological_split(_filled(spark, folder), ["asset"], "hour_no")
-    scored = target_score(indexed, ["asset"], "row_idx", mode="tanh", pad=False)
-    kept = chronological_split(scored.drop("split"), ["asset"], "row_idx", name="at")
+    indexed = grid_index(durable(_filled(spark, folder), "filled"), ["asset"], "hour_no")
+    scored = durable(target_score(indexed, ["asset"], "row_idx", mode="tanh", pad=False), "scored")
+    kept = chronological_split(scored, ["asset"], "row_idx", name="at")
     out = return_1h(kept, ["asset"], "at", pad=False)
     return out.select("asset", "split", "timestamp", "at", "return_1h", "volume", "text_content", "target_score").where(
         F.col("split").isin("train", "validation", "test_in_domain")

@@ -309,7 +309,10 @@ def sorted_head(spark, folder):
     )
 
 
-@query("random_sample")
+@query(
+    "random_sample",
+    "SELECT * FROM orders ORDER BY ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT, o_orderkey LIMIT 100",
+)
 def random_sample_query(spark, folder):
     return random_sample(load(spark, folder, "orders"), 100, "o_orderkey")
 
@@ -670,13 +673,26 @@ def project_vectors_query(spark, folder):
     return project_vectors(load(spark, folder, "embeddings"), "embedding", "projected", 64, 16).select("vec_id", "projected")
 
 
-@query("tabular_baseline")
-def tabular_baseline_query(spark, folder):
+def _baseline(spark, folder, cols, kind="linear"):
+    """Lines shipped before 1999 train, the rest is predicted."""
     lines = load(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_shipdate"
     )
     early = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")
-    cols = ["l_quantity", "l_discount", "l_tax"]
-    return tabular_baseline(lines.where(early), lines.where(~early), cols, "l_extendedprice").select(
-        "l_orderkey", "l_linenumber", "l_extendedprice", "prediction"
-    )
+    out = tabular_baseline(lines.where(early), lines.where(~early), cols, "l_extendedprice", kind, rounds=5)
+    return out.select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
+
+
+@query(
+    "tabular_baseline",
+    """WITH fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
+  FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01')
+SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 3) AS prediction FROM lineitem, fit WHERE l_shipdate >= TIMESTAMP '1999-01-01'""",
+)
+def tabular_baseline_query(spark, folder):
+    return _baseline(spark, folder, ["l_quantity"])
+
+
+@query("tabular_baseline_trees")
+def tabular_baseline_trees(spark, folder):
+    return _baseline(spark, folder, ["l_quantity", "l_discount", "l_tax"], "trees")
