@@ -529,7 +529,7 @@ history AS (SELECT run, epoch, avg((prediction - target) * (prediction - target)
 
 
 def history(spark, folder):
-    """One run per return flag, one epoch per line number."""
+    """Validation loss per run and epoch."""
     error = F.col("prediction") - F.col("target")
     return predictions(spark, folder).groupBy("run", "epoch").agg(F.avg(error * error).alias("val_mse"))
 
@@ -539,11 +539,11 @@ def history(spark, folder):
     f"""WITH {HISTORY},
 best AS (SELECT *, min(val_mse) OVER (PARTITION BY run ORDER BY epoch
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM history)
-SELECT run, epoch, round(best_before, 2) AS best_before, coalesce(val_mse < best_before, true) AS improved FROM best""",
+SELECT run, epoch, round(best_before, 5) AS best_before, coalesce(val_mse < best_before, true) AS improved FROM best""",
 )
 def running_best_query(spark, folder):
-    out = running_best(history(spark, folder).withColumn("at", F.col("epoch") - 1), ["run"], "at")
-    return out.select("run", "epoch", F.round("best_before", 2).alias("best_before"), "improved")
+    out = running_best(grid_index(history(spark, folder), ["run"], "epoch"), ["run"], "row_idx")
+    return out.select("run", "epoch", F.round("best_before", 5).alias("best_before"), "improved")
 
 
 @query(

@@ -350,11 +350,11 @@ def relative_error_query(spark, folder):
 
 @query(
     "best_epoch",
-    f"""WITH {HISTORY} SELECT run, first(epoch ORDER BY val_mse, epoch) AS best_epoch, round(min(val_mse), 2) AS best_loss
+    f"""WITH {HISTORY} SELECT run, first(epoch ORDER BY val_mse, epoch) AS best_epoch, round(min(val_mse), 5) AS best_loss
 FROM history GROUP BY 1""",
 )
 def best_epoch_query(spark, folder):
-    return best_epoch(history(spark, folder)).withColumn("best_loss", F.round("best_loss", 2))
+    return best_epoch(history(spark, folder)).withColumn("best_loss", F.round("best_loss", 5))
 
 
 # --- validation and verification --------------------------------------------

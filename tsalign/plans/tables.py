@@ -77,13 +77,13 @@ def rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """A linear price rule as the prediction of a line's price, with a unique row number."""
-    return load(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"),
-        F.col("l_returnflag").alias("run"),
-        F.col("l_linenumber").cast("long").alias("epoch"),
-        (F.col("l_quantity") * 1500.0).alias("prediction"),
-        F.col("l_extendedprice").alias("target"),
+    """A rule on the user as the prediction of an event's value: one run per type, one epoch per day."""
+    return load(spark, folder, "events").select(
+        F.col("event_id").alias("idx"),
+        F.col("event_type").alias("run"),
+        F.dayofmonth("ts").cast("long").alias("epoch"),
+        (F.col("user_id") % 50 + 25).cast("double").alias("prediction"),
+        F.col("value").alias("target"),
     )
 
 
@@ -113,5 +113,5 @@ SPLIT_CASE = """CASE WHEN idx < floor(0.7::DOUBLE * n) THEN 'train'
        ELSE 'test_in_domain' END"""
 
 PREDICTIONS = """pred AS (
-  SELECT l_orderkey * 8 + l_linenumber AS idx, l_returnflag AS run, CAST(l_linenumber AS BIGINT) AS epoch,
-         l_quantity * 1500.0::DOUBLE AS prediction, l_extendedprice AS target FROM lineitem)"""
+  SELECT event_id AS idx, event_type AS run, day(ts) AS epoch, CAST(user_id % 50 + 25 AS DOUBLE) AS prediction, value AS target
+  FROM events)"""

@@ -247,14 +247,14 @@ def combine_sources(spark, folder):
     "macro_hourly",
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS timestamp,
   count(*) FILTER (event_type = 'view') AS gdelt_econ_volume,
-  round(avg(value) FILTER (event_type = 'view'), 6) AS gdelt_econ_tone,
+  round(avg(value) FILTER (event_type = 'view'), 8) AS gdelt_econ_tone,
   count(*) FILTER (event_type = 'error') AS gdelt_conflict_volume FROM events GROUP BY 1""",
 )
 def macro_hourly_query(spark, folder):
     kind = F.col("event_type")
     out = macro_hourly(load(spark, folder, "events"), "ts", kind == "view", kind == "error", "value")
     return out.withColumns(
-        {"timestamp": stamp("timestamp"), "gdelt_econ_tone": F.round("gdelt_econ_tone", 6)}
+        {"timestamp": stamp("timestamp"), "gdelt_econ_tone": F.round("gdelt_econ_tone", 8)}
     )
 
 
@@ -572,7 +572,7 @@ def file_report(spark, folder):
 _PERP = """hourly AS (SELECT event_type, user_id, date_trunc('hour', ts) AS timestamp, value FROM events),
 oi AS (SELECT timestamp, event_type AS asset, max(value) AS high FROM hourly GROUP BY 1, 2),
 liq AS (SELECT timestamp, event_type AS asset, count(*) AS longs FROM hourly WHERE value > 10 GROUP BY 1, 2),
-ratio AS (SELECT timestamp, event_type AS asset, round(avg(value), 6) AS ratio FROM hourly WHERE value < 100 GROUP BY 1, 2)"""
+ratio AS (SELECT timestamp, event_type AS asset, round(avg(value), 8) AS ratio FROM hourly WHERE value < 100 GROUP BY 1, 2)"""
 
 
 @query("perp_join", f"WITH {_PERP} SELECT asset, {STAMP} AS timestamp, high, longs, ratio FROM oi JOIN liq USING (timestamp, asset) JOIN ratio USING (timestamp, asset)")
@@ -582,7 +582,7 @@ def perp_join(spark, folder):
     by = ["timestamp", "asset"]
     oi = events.groupBy(*by).agg(F.max("value").alias("high"))
     liq = events.where(F.col("value") > 10).groupBy(*by).agg(F.count(F.lit(1)).alias("longs"))
-    ratio = events.where(F.col("value") < 100).groupBy(*by).agg(F.round(F.avg("value"), 6).alias("ratio"))
+    ratio = events.where(F.col("value") < 100).groupBy(*by).agg(F.round(F.avg("value"), 8).alias("ratio"))
     return join_perp_metrics(oi, liq, ratio).withColumn("timestamp", stamp("timestamp"))
 
 
