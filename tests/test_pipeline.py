@@ -236,3 +236,28 @@ def test_verify_report(spark, tmp_path):
 def test_published(spark):
     df = spark.createDataFrame([("train",), ("embargo_1",)], "split string")
     assert published(df).count() == 1
+
+
+def test_training_windows(spark):
+    from tsalign.operators.features import encoder_of
+    from tsalign.plans.training import feature_tables, training_windows
+
+    rng = np.random.default_rng(4)
+    parts = []
+    for asset in ("BTC", "ETH"):
+        n = 80
+        parts.append(pd.DataFrame({"asset": asset, "row_idx": np.arange(n), "split": ["train"] * 40 + ["validation"] * 40, "a": rng.normal(size=n), "b": rng.normal(size=n) * 5, "target_score": rng.normal(size=n), "text_content": "one two"}))
+    data = pd.concat(parts, ignore_index=True)
+    features = feature_tables(spark.createDataFrame(data), encoder_of(8), ["a", "b"])
+    train = data[data.split == "train"]
+    mean, std = train[["a", "b"]].mean(), train[["a", "b"]].std(ddof=0)
+    q1, median, q3 = train["target_score"].quantile([0.25, 0.5, 0.75])
+    for across, count in ((False, 2 * 16), (True, 80 - 24)):
+        got = training_windows(features, "validation", width=2, across_assets=across, rows=10).toPandas()
+        assert len(got) == count
+        row = got[(got.asset == "ETH") & (got.row_idx == 70)].iloc[0]
+        eth = data[(data.asset == "ETH") & (data.row_idx.between(46, 69))]
+        np.testing.assert_allclose(np.array([list(v) for v in row["tabular"]]), (eth[["a", "b"]] - mean) / std, rtol=1e-4, atol=1e-5)
+        assert np.array([list(v) for v in row["text"]]).shape == (24, 8)
+        y = data[(data.asset == "ETH") & (data.row_idx == 70)]["target_score"].iloc[0]
+        assert row["target"] == pytest.approx((y - median) / (q3 - q1), rel=1e-4)

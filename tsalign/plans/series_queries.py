@@ -437,11 +437,21 @@ def sequence_windows_query(spark, folder):
 framed AS (SELECT asset, timestamp, close, row_number() OVER w0 - 1 AS rn,
    list(close) OVER (PARTITION BY asset ORDER BY timestamp ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS seq
    FROM bars WINDOW w0 AS (PARTITION BY asset ORDER BY timestamp))
-SELECT asset, rn - 24 AS idx, {STAMP} AS timestamp, seq AS close, close AS target FROM framed WHERE rn >= 24""",
+SELECT asset, rn - 24 AS idx, {STAMP} AS timestamp, len(seq) AS n, seq[1] AS first_close, seq[-1] AS last_close,
+       round(list_sum(seq), 4) AS total, close AS target FROM framed WHERE rn >= 24""",
 )
 def bar_windows(spark, folder):
     out = sequence_windows(indexed_bars(spark, folder), KEY, "row_idx", ["close"], "close", ["timestamp"])
-    return out.select("asset", "idx", stamp("timestamp").alias("timestamp"), "close", "target")
+    return out.select(
+        "asset",
+        "idx",
+        stamp("timestamp").alias("timestamp"),
+        F.size("close").cast("long").alias("n"),
+        F.col("close")[0].alias("first_close"),
+        F.element_at("close", -1).alias("last_close"),
+        F.round(F.aggregate("close", F.lit(0.0), lambda acc, x: acc + x), 4).alias("total"),
+        "target",
+    )
 
 
 @query(

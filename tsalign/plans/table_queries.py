@@ -28,10 +28,12 @@ from tsalign.operators.scale import apply_scaler, fit_robust, fit_standard
 from tsalign.operators.split import batches, chronological_split
 from tsalign.operators.validate import batch_ok, validate_fear_greed, validate_news, validate_posts, violation_counts
 from tsalign.operators.label import return_1h, target_score
+from tsalign.plans.align import published
 from tsalign.plans.registry import query
 from tsalign.plans.series_queries import HISTORY, history
 from tsalign.plans.tables import BARS, PREDICTIONS, SPLIT_CASE, load, predictions, r, stamp
 from tsalign.plans.text_queries import PLACEHOLDER, _filled, HOURLY
+from tsalign.plans.training import feature_tables, training_windows
 from tsalign.plans.verify import verify_dataset
 
 FLAG = ["l_returnflag"]
@@ -460,9 +462,8 @@ def _published(spark, folder):
     indexed = grid_index(durable(_filled(spark, folder), "filled"), ["asset"], "hour_no")
     scored = durable(target_score(indexed, ["asset"], "row_idx", mode="tanh", pad=False), "scored")
     kept = chronological_split(scored, ["asset"], "row_idx", name="at")
-    out = return_1h(kept, ["asset"], "at", pad=False)
-    return out.select("asset", "split", "timestamp", "at", "return_1h", "volume", "text_content", "target_score").where(
-        F.col("split").isin("train", "validation", "test_in_domain")
+    return published(return_1h(kept, ["asset"], "at", pad=False)).select(
+        "asset", "split", "timestamp", "at", "return_1h", "volume", "text_content", "target_score"
     )
 
 
@@ -529,3 +530,32 @@ def verify_dataset_query(spark, folder):
     claimed = spark.createDataFrame(VERIFY_CLAIMS, "check string, subject string, claimed double, tolerance double")
     report = verify_dataset(_published(spark, folder), _FEATURES, claimed, pair=("click", "view"))
     return report.withColumn("actual", r("actual", 4))
+
+
+@query(
+    "training_windows",
+    f"""WITH {_PUBLISHED},
+s AS (SELECT avg(return_1h::FLOAT::DOUBLE) AS a1, stddev_pop(return_1h::FLOAT::DOUBLE) AS s1, avg(volume) AS a2, stddev_pop(volume) AS s2,
+  quantile_cont(target_score::FLOAT::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM pub WHERE split = 'train'),
+scaled AS (SELECT asset, idx AS row_idx, ((return_1h::FLOAT::DOUBLE - a1) / s1)::FLOAT::DOUBLE AS x1, ((volume - a2) / s2)::FLOAT::DOUBLE AS x2,
+  ((target_score::FLOAT::DOUBLE - q[2]) / (q[3] - q[1]))::FLOAT::DOUBLE AS y,
+  row_number() OVER (PARTITION BY asset ORDER BY idx) - 1 AS at_ FROM pub, s WHERE split = 'validation'),
+framed AS (SELECT asset, row_idx, at_, y, sum(x1) OVER w AS x1, sum(x2) OVER w AS x2 FROM scaled
+  WINDOW w AS (PARTITION BY asset ORDER BY at_ ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+SELECT asset, row_idx, at_ - 24 AS idx, round(x1, 3) + 0.0 AS x1, round(x2, 3) + 0.0 AS x2, round(y, 4) + 0.0 AS target FROM framed WHERE at_ >= 24""",
+)
+def training_windows_query(spark, folder):
+    """Validation windows scaled with training statistics; sums stand for the window contents."""
+    aligned = durable(_published(spark, folder), "aligned").withColumnRenamed("at", "row_idx")
+    features = feature_tables(aligned, tabular=["return_1h", "volume"])
+    del features["text"]
+    out = training_windows(features, "validation", width=2)
+    total = lambda i: F.aggregate("tabular", F.lit(0.0), lambda acc, x: acc + x[i].cast("double"))
+    return out.select(
+        "asset",
+        "row_idx",
+        "idx",
+        r(total(0), 3).alias("x1"),
+        r(total(1), 3).alias("x2"),
+        r(F.col("target").cast("double"), 4).alias("target"),
+    )

@@ -508,11 +508,14 @@ def project_without_query(spark, folder):
 
 @query(
     "feature_vector",
-    """SELECT l_orderkey, l_linenumber, [l_quantity::FLOAT, l_discount::FLOAT, l_tax::FLOAT] AS tabular FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_quantity::FLOAT::DOUBLE AS f0, l_discount::FLOAT::DOUBLE AS f1, l_tax::FLOAT::DOUBLE AS f2
+FROM lineitem""",
 )
 def feature_vector(spark, folder):
     out = select_feature_vector(load(spark, folder, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
-    return out.select("l_orderkey", "l_linenumber", "tabular")
+    return out.select(
+        "l_orderkey", "l_linenumber", *[F.col("tabular")[i].cast("double").alias(f"f{i}") for i in range(3)]
+    )
 
 
 @query(
@@ -604,11 +607,14 @@ def _modalities(spark, folder):
 
 @query(
     "zip_modalities",
-    """SELECT 'A' || (vec_id % 2) AS asset, 'train' AS split, vec_id // 2 AS row_idx, embedding[1:32] AS text_embedding,
-  embedding[33:64] AS image_embedding, label AS target FROM embeddings""",
+    """SELECT 'A' || (vec_id % 2) AS asset, 'train' AS split, vec_id // 2 AS row_idx, round(list_sum(embedding[1:32]::DOUBLE[]), 5) + 0.0 AS text_sum,
+  round(list_sum(embedding[33:64]::DOUBLE[]), 5) + 0.0 AS image_sum, label AS target FROM embeddings""",
 )
 def zip_modalities_query(spark, folder):
-    return zip_modalities(_modalities(spark, folder))
+    total = lambda c: r(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double")), 5)
+    return zip_modalities(_modalities(spark, folder)).select(
+        "asset", "split", "row_idx", total("text_embedding").alias("text_sum"), total("image_embedding").alias("image_sum"), "target"
+    )
 
 
 @query(
