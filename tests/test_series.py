@@ -225,6 +225,20 @@ def test_null_and_zero_closes(spark):
     assert np.isnan(loose[1]) and np.isnan(loose[2])
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 16, 300])
+def test_rolling_vol_with_holes_and_jumps(spark, window):
+    rng = np.random.default_rng(window)
+    x = rng.normal(size=150) * np.where(rng.random(150) < 0.1, 1e6, 1e-3)
+    x[rng.random(150) < 0.2] = np.nan
+    x[60:90] = 0.1
+    df = spark.createDataFrame([("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "asset string, row_idx long, x double")
+    got = pull(rolling_vol(df, BY, "row_idx", "x", window, rows=32), "volatility")
+    expected = np.array([pd.Series(x[max(0, i - window + 1) : i + 1]).std() for i in range(150)])
+    same(got, expected, 1e-9)
+    if window == 5:
+        assert set(got[64:90]) == {0.0}
+
+
 def test_warm_up_and_tail(spark):
     df = spark.createDataFrame([("A", i, 100.0 + i) for i in range(40)], "asset string, row_idx long, close double")
     kept = [r.row_idx for r in target_score(df, BY, "row_idx").orderBy("row_idx").collect()]

@@ -54,12 +54,16 @@ def embed_column(
     name: str = "text_embedding",
     encoder: Callable[[], Encoder] = HashedTokens,
     batch: int = 32,
+    partitions: int | None = None,
 ) -> DataFrame:
     """A vector per row of a text column, in Arrow batches.
 
     ``encoder`` builds the encoder, once per task; it maps a batch of texts to
-    a matrix. NULL is read as empty text.
+    a matrix. NULL is read as empty text. Encoding costs far more than moving
+    the texts, so ``partitions`` may spread a scan with few splits.
     """
+    if partitions is not None:
+        df = df.repartition(partitions)
 
     @F.pandas_udf("array<float>")
     def embed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:

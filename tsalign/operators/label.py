@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsalign.operators.chunk import CHUNK_ROWS, forward_fill, framed, home_rows
@@ -22,6 +22,47 @@ def _padded(df: DataFrame, by, pos, col, pad, rows) -> tuple[DataFrame, str]:
     return forward_fill(df, by, pos, {col: "_padded"}, rows), "_padded"
 
 
+def _rolling_std(spread: DataFrame, by, pos, col, window, name) -> DataFrame:
+    """Sample deviation of the last ``window`` values on a :func:`framed` table, in constant work per row.
+
+    Spark re-aggregates a sliding frame for every row. Cut at multiples of
+    ``window`` instead, a frame is the end of one block and the start of the
+    next: both are running aggregates, forwards and backwards, and their counts,
+    means and squared deviations merge without cancellation. Means are taken
+    relative to a value of the block, so a constant frame gives exactly 0.
+    """
+    cut = spread.withColumn("_cut", F.floor(F.col(pos) / window))
+    block = Window.partitionBy(*by, "_chunk", "_cut")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    forward = block.orderBy(F.col(pos)).rowsBetween(*so_far)
+    backward = block.orderBy(F.col(pos).desc()).rowsBetween(*so_far)
+    in_order = Window.partitionBy(*by, "_chunk").orderBy("_cut", pos)
+
+    def running(df: DataFrame, w, tag: str) -> DataFrame:
+        x, near = F.col(col), F.col(f"_near_{tag}")
+        return df.withColumn(f"_near_{tag}", F.first(col, True).over(w)).withColumn(
+            f"_m_{tag}",
+            F.struct(
+                F.count(x).over(w).alias("n"),
+                near.alias("near"),
+                F.avg(x - near).over(w).alias("off"),
+                F.var_pop(x).over(w).alias("var"),
+            ),
+        ).drop(f"_near_{tag}")
+
+    both = running(running(cut, forward, "head"), backward, "tail")
+    # The tail that completes a head starts window - 1 rows earlier; a head that ends its block is complete alone.
+    alone = F.pmod(F.col(pos), F.lit(window)) == window - 1
+    both = both.withColumn("_m_tail", F.when(~alone, F.lag("_m_tail", window - 1).over(in_order)))
+    head, tail = F.col("_m_head"), F.col("_m_tail")
+    n1, n2 = head["n"].cast("double"), F.coalesce(tail["n"], F.lit(0)).cast("double")
+    gap = (head["near"] - tail["near"]) + (head["off"] - tail["off"])
+    spread_of = lambda m: F.coalesce(m["var"] * m["n"], F.lit(0.0))
+    merged = spread_of(head) + spread_of(tail) + F.coalesce(gap * gap * n1 * n2 / F.nullif(n1 + n2, F.lit(0.0)), F.lit(0.0))
+    std = F.when(n1 + n2 > 1, F.sqrt(merged / (n1 + n2 - 1)))
+    return both.withColumn(name, std).drop("_cut", "_m_head", "_m_tail")
+
+
 def pct_change(
     df: DataFrame,
     by: Sequence[str],
@@ -48,9 +89,8 @@ def rolling_vol(
     rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Sample standard deviation of the last ``window`` values; NULL below two values."""
-    spread, w = framed(df, by, pos, back=window - 1, rows=rows)
-    out = spread.withColumn(name, F.stddev_samp(col).over(w.rowsBetween(-(window - 1), 0)))
-    return home_rows(out, pos, rows)
+    spread, _ = framed(df, by, pos, back=window - 1, rows=rows)
+    return home_rows(_rolling_std(spread, by, pos, col, window, name), pos, rows)
 
 
 def forward_return(
@@ -89,13 +129,13 @@ def target_score(
         raise ValueError(f"unknown mode: {mode}")
     df, src = _padded(df, by, pos, col, pad, rows)
     spread, w = framed(df, by, pos, back=window, ahead=horizon, rows=rows)
-    spread = spread.withColumn("_change", F.try_divide(F.col(src), F.lag(src).over(w)) - 1)
     spread = spread.withColumns(
         {
-            "_vol": F.stddev_samp("_change").over(w.rowsBetween(-(window - 1), 0)),
+            "_change": F.try_divide(F.col(src), F.lag(src).over(w)) - 1,
             "_ahead": F.try_divide(F.lead(col, horizon).over(w) - F.col(col), F.col(col)),
         }
     )
+    spread = _rolling_std(spread, by, pos, "_change", window, "_vol")
     if mode == "raw":
         score = F.try_divide(F.col("_ahead"), F.col("_vol") + F.lit(EPSILON))
     else:

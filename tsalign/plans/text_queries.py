@@ -671,7 +671,9 @@ def prompt(spark, folder):
 
 @query("embed_text")
 def embed_text(spark, folder):
-    return embed_column(load(spark, folder, "documents"), "text", encoder=encoder_of(256)).select("doc_id", "text_embedding")
+    documents = load(spark, folder, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return embed_column(documents, "text", encoder=encoder_of(256), partitions=cores).drop("text")
 
 
 @query("project_vectors")
