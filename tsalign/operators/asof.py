@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsalign.operators.chunk import arrange, _earlier
+from tsalign.operators.chunk import arrange, earlier
 from tsalign.operators.durable import durable
 
 
@@ -58,7 +58,7 @@ def asof_backward(
     tails = placed.groupBy(*by, "_part").agg(
         F.max_by("_hit", F.when(F.col("_side") == 0, F.col("_place"))).alias("_tail")
     )
-    carried = tails.select(*by, "_part", F.last("_tail", True).over(_earlier(by, "_part")).alias("_carry"))
+    carried = tails.select(*by, "_part", F.last("_tail", True).over(earlier(by, "_part")).alias("_carry"))
     so_far = (
         Window.partitionBy(*by, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

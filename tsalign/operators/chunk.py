@@ -35,7 +35,8 @@ def chunk_of(pos: str | Column, rows: int) -> Column:
     return F.floor(pos / F.lit(rows)).cast("long")
 
 
-def _earlier(by: Sequence[str], on: str) -> WindowSpec:
+def earlier(by: Sequence[str], on: str) -> WindowSpec:
+    """All earlier rows of a table of chunks or partitions; never used on the data itself."""
     return Window.partitionBy(*by).orderBy(on).rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -71,7 +72,7 @@ def row_index(
     """
     placed = arrange(df, by, order)
     parts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_in_part"), F.min("_place").alias("_first"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_in_part").over(_earlier(by, "_part")), F.lit(0)))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_in_part").over(earlier(by, "_part")), F.lit(0)))
     if total:
         parts = parts.withColumn(total, F.sum("_in_part").over(Window.partitionBy(*by)))
     parts = durable(parts.drop("_in_part"), "parts")
@@ -96,7 +97,7 @@ def grid_index(
     """
     chunked = df.withColumn("_chunk", chunk_of(pos, rows))
     sizes = chunked.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_in_chunk"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in_chunk").over(_earlier(by, "_chunk")), F.lit(0)))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in_chunk").over(earlier(by, "_chunk")), F.lit(0)))
     if total:
         sizes = sizes.withColumn(total, F.sum("_in_chunk").over(Window.partitionBy(*by)))
     within = Window.partitionBy(*by, "_chunk").orderBy(pos)
@@ -135,7 +136,7 @@ def forward_fill(
     tails = chunked.groupBy(*by, "_chunk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_tail_{t}") for c, t in cols.items()]
     )
-    before = _earlier(by, "_chunk")
+    before = earlier(by, "_chunk")
     carried = tails.select(
         *by, "_chunk", *[F.last(f"_tail_{t}", True).over(before).alias(f"_carry_{t}") for t in cols.values()]
     )
@@ -155,7 +156,7 @@ def running_min_before(
     """Minimum of ``col`` over all earlier rows of the key; NULL on the first."""
     chunked = df.withColumn("_chunk", chunk_of(pos, rows))
     lows = chunked.groupBy(*by, "_chunk").agg(F.min(col).alias("_low"))
-    carried = lows.select(*by, "_chunk", F.min("_low").over(_earlier(by, "_chunk")).alias("_carry"))
+    carried = lows.select(*by, "_chunk", F.min("_low").over(earlier(by, "_chunk")).alias("_carry"))
     before = Window.partitionBy(*by, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     joined = chunked.join(carried, [*by, "_chunk"], "left")
     return joined.withColumn(name, F.least(F.min(col).over(before), F.col("_carry"))).drop("_chunk", "_carry")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsalign.operators.chunk import arrange, _earlier
+from tsalign.operators.chunk import arrange, earlier
 from tsalign.operators.durable import durable
 
 
@@ -31,7 +31,7 @@ def ranked_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> Data
     parts = parts.select(
         *keys,
         "_part",
-        F.coalesce(F.sum("_n").over(_earlier(keys, "_part")), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(earlier(keys, "_part")), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("n"),
     )
     so_far = (

@@ -46,7 +46,7 @@ class Sources:
 
 
 def joined_sources(s: Sources) -> DataFrame:
-    """Every bar with the funding rate, index, macro news and text current at its hour."""
+    """Every bar with the funding rate, index and macro news current at its hour."""
     df = require_columns(s.klines, ["asset", "timestamp", "close", "volume"])
     if s.funding is None:
         df = files.with_source_default(df, "funding")
@@ -57,10 +57,14 @@ def joined_sources(s: Sources) -> DataFrame:
     else:
         values = ["fear_greed_value", "fear_greed_class"]
         df = asof_backward(df, s.fear_greed, "timestamp", [], values, _order(s.fear_greed), clip_by=["asset"])
-    df = files.with_source_default(df, "macro") if s.macro is None else left_join_on_time(df, s.macro)
-    if s.news is None:
+    return files.with_source_default(df, "macro") if s.macro is None else left_join_on_time(df, s.macro)
+
+
+def with_text(df: DataFrame, news: DataFrame | None) -> DataFrame:
+    """The joined news of each row's hour, or the placeholder."""
+    if news is None:
         return files.with_source_default(df, "news")
-    text = hourly_text(s.news, "timestamp", "text_content", _order(s.news))
+    text = hourly_text(news, "timestamp", "text_content", _order(news))
     return fill_missing(left_join_on_time(df, text), {"text_content": PLACEHOLDER})
 
 
@@ -84,7 +88,8 @@ def align(
 
     Order matters and follows the published data: time range after the joins,
     label on the cut series, charts, and only then the hourly return, so a
-    return spans any row dropped before it.
+    return spans any row dropped before it. Texts drop no row, so they join
+    last and never travel through a window.
     """
     by = ["asset"]
     use_utc(s.klines.sparkSession)
@@ -102,7 +107,7 @@ def align(
     final = return_1h(surviving, by, "row_idx", rows=rows)
     zeros = {c: 0 for c in ("gdelt_econ_volume", "gdelt_econ_tone", "gdelt_conflict_volume")}
     split = label_split(fill_missing(final, zeros), "row_idx", "_total", train, validation, horizon)
-    return final_projection(split, ["asset", "split", "row_idx", *FINAL_COLUMNS])[0]
+    return final_projection(with_text(split, s.news), ["asset", "split", "row_idx", *FINAL_COLUMNS])[0]
 
 
 def folder_sources(spark: SparkSession, folder: str, assets: list[str], image_folder: str | None = None) -> Sources:

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsalign.functions.text import asset_list, clean_text, combine_post_text
 from tsalign.operators.durable import work_folder
 from tsalign.operators.split import chronological_split
 from tsalign.plans.registry import query
 from tsalign.plans.series_queries import _SPLIT
-from tsalign.plans.tables import BARS, DAILY, STAMP, bars, daily, load, r, stamp
+from tsalign.plans.tables import BARS, DAILY, STAMP, bars, daily, load, stamp
 from tsalign.plans.text_queries import PATTERNS, clean_sql
 from tsalign.sources import files, sinks
 
@@ -252,12 +253,17 @@ def feature_inventory(spark, folder):
     return sinks.feature_inventory(spark, path, dict.fromkeys(sinks.MODALITIES, "vector"))
 
 
-@query("detected_posts", f"""WITH {_POSTS} SELECT conv_id, turn, coalesce(nullif(concat_ws(',',
-  {", ".join(f"CASE WHEN regexp_matches(lower(combined_text), '{'|'.join(w)}') THEN '{a}' END" for a, w in PATTERNS.items())}), ''), 'OTHER') AS assets
-FROM combined""")
-def detected_posts(spark, folder):
-    from tsalign.functions.text import asset_list, clean_text, combine_post_text
+_HITS = ", ".join(
+    f"CASE WHEN regexp_matches(lower(combined_text), '{'|'.join(words)}') THEN '{asset}' END" for asset, words in PATTERNS.items()
+)
 
+
+@query(
+    "detected_posts",
+    f"""WITH {_POSTS}
+SELECT conv_id, turn, coalesce(nullif(concat_ws(',', {_HITS}), ''), 'OTHER') AS assets FROM combined""",
+)
+def detected_posts(spark, folder):
     title, text = clean_text(F.col("role")), clean_text(F.col("text"))
     return load(spark, folder, "conversations").select(
         "conv_id", "turn", asset_list(combine_post_text(title, text), PATTERNS).alias("assets")

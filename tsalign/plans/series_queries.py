@@ -306,9 +306,6 @@ def sma_query(spark, folder):
     return out.select("asset", "row_idx", F.round("MA7", 4).alias("MA7"), F.round("MA25", 4).alias("MA25"))
 
 
-_EMA_STEP = "{a}::DOUBLE * d.{x} + (1 - {a}::DOUBLE) * e.{y}"
-
-
 @query(
     "ema",
     f"""WITH RECURSIVE {DAILY},
