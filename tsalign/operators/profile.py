@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tsalign.functions.classes import significance_stars
 from tsalign.functions.scalar import is_outlier_iqr, is_outlier_z
 from tsalign.operators.durable import durable
-from tsalign.operators.quantile import QUARTILES, melt, quantiles, ranked_with_fences
+from tsalign.operators.quantile import QUARTILES, counts_with_fences, melt, quantiles
 
 
 def _agg(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
@@ -166,7 +166,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50, by: Sequence[s
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles and whiskers (most extreme values within 1.5 IQR of the box)."""
-    fenced, _ = ranked_with_fences(df, by, cols)
+    fenced = counts_with_fences(df, by, cols)
     value = F.col("value")
     return (
         fenced.groupBy(*by, "feature", "q1", "median", "q3")
@@ -184,7 +184,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 def outlier_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows beyond the 1.5 IQR fences and beyond three sample deviations, with percents of all rows."""
     keys = [*by, "feature"]
-    fenced, _ = ranked_with_fences(df, by, cols)
+    fenced = counts_with_fences(df, by, cols)
     stats = durable(
         _per_feature(
             df,

@@ -22,54 +22,65 @@ def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
-def ranked_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Distinct values per ``(by, feature)`` with the ranks ``[lo, hi)`` they occupy and the group size ``n``."""
+def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Distinct values per ``(by, feature)`` with their ``rows``, range-sorted and written."""
     keys = [*by, "feature"]
     counted = melt(df, by, cols).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("rows"))
-    placed = arrange(counted, keys, ["value"])
-    parts = placed.groupBy(*keys, "_part").agg(F.sum("rows").alias("_n"))
+    return arrange(counted, keys, ["value"])
+
+
+def quantiles_of(counted: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """``{name: p}`` per ``(by, feature)``, linear interpolation between neighbours.
+
+    The number of rows before each partition tells which partitions hold a
+    wanted rank; only those are read again and ranked.
+    """
+    keys = [*by, "feature"]
+    rank = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
+    parts = counted.groupBy(*keys, "_part").agg(F.sum("rows").alias("_n"))
     parts = parts.select(
         *keys,
         "_part",
+        "_n",
         F.coalesce(F.sum("_n").over(earlier(keys, "_part")), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("n"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
     )
+    covers = lambda k, lo, hi: (lo <= k) & (k < hi)
+    needed = F.lit(False)
+    for at in rank.values():
+        end = F.col("_before") + F.col("_n")
+        needed = needed | covers(F.floor(at), F.col("_before"), end) | covers(F.ceil(at), F.col("_before"), end)
+    parts = durable(parts.where(needed).drop("_n"), "parts")
+
     so_far = (
         Window.partitionBy(*keys, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = placed.join(parts, [*keys, "_part"])
-    upto = F.sum("rows").over(so_far) + F.col("_before")
-    return joined.withColumn("hi", upto).select(*keys, "value", "rows", (F.col("hi") - F.col("rows")).alias("lo"), "hi", "n")
-
-
-def quantiles_of(ranked: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """``{name: p}`` per ``(by, feature)``, linear interpolation between neighbours."""
+    ranked = counted.join(parts, [*keys, "_part"])
+    ranked = ranked.withColumn("_hi", F.sum("rows").over(so_far) + F.col("_before"))
+    lo, hi = F.col("_hi") - F.col("rows"), F.col("_hi")
     aggs = []
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("n") - 1)
-        below, above = F.floor(rank), F.ceil(rank)
-        at = lambda k: (F.col("lo") <= k) & (k < F.col("hi"))
+    for name, at in rank.items():
         aggs += [
-            F.max(F.when(at(below), F.col("value"))).alias(f"_b_{name}"),
-            F.max(F.when(at(above), F.col("value"))).alias(f"_a_{name}"),
-            F.max(rank - below).alias(f"_f_{name}"),
+            F.max(F.when(covers(F.floor(at), lo, hi), F.col("value"))).alias(f"_b_{name}"),
+            F.max(F.when(covers(F.ceil(at), lo, hi), F.col("value"))).alias(f"_a_{name}"),
+            F.max(at - F.floor(at)).alias(f"_f_{name}"),
         ]
-    picked = ranked.groupBy(*by, "feature").agg(*aggs)
+    picked = ranked.groupBy(*keys).agg(*aggs)
     blend = lambda m: F.col(f"_b_{m}") + (F.col(f"_a_{m}") - F.col(f"_b_{m}")) * F.col(f"_f_{m}")
-    return picked.select(*by, "feature", *[blend(m).alias(m) for m in probs])
+    return picked.select(*keys, *[blend(m).alias(m) for m in probs])
 
 
 def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    return quantiles_of(ranked_values(df, by, cols), by, probs)
+    return quantiles_of(value_counts(df, by, cols), by, probs)
 
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def ranked_with_fences(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Ranked values joined to their group's quartiles and 1.5 IQR fences, and the quartile table."""
-    ranked = durable(ranked_values(df, by, cols), "ranked")
-    quartiles = durable(quantiles_of(ranked, by, QUARTILES), "quartiles")
+def counts_with_fences(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Distinct values and their rows, with their group's quartiles and 1.5 IQR fences."""
+    counted = value_counts(df, by, cols)
+    quartiles = durable(quantiles_of(counted, by, QUARTILES), "quartiles")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fenced = quartiles.withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
-    return ranked.join(fenced, [*by, "feature"]), quartiles
+    return counted.drop("_place", "_part").join(fenced, [*by, "feature"])
