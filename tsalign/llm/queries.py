@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, licenses, lines, seeds
+from tsalign.llm import chat, licenses, lines, minmax, seeds
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
@@ -20,6 +20,11 @@ def op3_license_digest(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_texts(spark))
 
 
+@query("op4_minmax_dedup")
+def op4_minmax_dedup(spark, sf_dir):
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_line_dedup", lines.oracle())
 def op5_line_dedup(spark, sf_dir):
     out = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
