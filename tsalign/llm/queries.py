@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, licenses, lines, minmax, seeds
+from tsalign.llm import chat, licenses, lines, minmax, seeds, tagpaths
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
@@ -41,3 +41,8 @@ def op8_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(_PLANTED, "conv_id bigint, turn bigint, role string, text string")
     return chat.digest(chat.expand(turns.unionByName(planted)))
+
+
+@query("op9_tag_path_text")
+def op9_tag_path_text(spark, sf_dir):
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
