@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, licenses, lines, minmax, seeds, tagpaths
+from tsalign.llm import chat, kneser_ney, licenses, lines, minmax, seeds, tagpaths
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
@@ -36,6 +36,11 @@ def op6_decontamination(spark, sf_dir):
     return seeds.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_kneser_ney_quality")
+def op7_kneser_ney_quality(spark, sf_dir):
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_chat_format", chat.oracle(tuple(_PLANTED)))
 def op8_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
