@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, kneser_ney, licenses, lines, minmax, onebit, seeds, tagpaths
+from tsalign.llm import chat, kneser_ney, licenses, lines, minmax, onebit, seeds, tagpaths, webarchive
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_zip_warc", webarchive.oracle())
+def op1_zip_warc(spark, sf_dir):
+    return webarchive.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op2_onebit_neighbours")
 def op2_onebit_neighbours(spark, sf_dir):
     return onebit.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
