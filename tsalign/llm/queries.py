@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, kneser_ney, licenses, lines, minmax, onebit, seeds, tagpaths, webarchive
+from tsalign.llm import chat, kneser_ney, licenses, lines, minmax, onebit, pieces, seeds, tagpaths, webarchive
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
@@ -61,3 +61,8 @@ def op8_chat_format(spark, sf_dir):
 @query("op9_tag_path_text")
 def op9_tag_path_text(spark, sf_dir):
     return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_nbest_pieces")
+def op10_nbest_pieces(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
