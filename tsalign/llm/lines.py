@@ -17,6 +17,8 @@ their names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,29 @@ def drop_boilerplate(
     )
 
 
+def clean_pages(
+    pages: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    ratio: float = RATIO,
+    min_pages: int = MIN_PAGES,
+    sizes: dict[str, Callable[[Column], Column]] | None = None,
+) -> DataFrame:
+    """``pages`` with the text that is left; ``sizes`` names columns to compute anew from it, where they are present."""
+    out = drop_boilerplate(pages, host, text, ratio, min_pages)
+    again = {c: f for c, f in (sizes or {}).items() if c in pages.columns}
+    types = dict(pages.dtypes)
+
+    def value(c: str) -> Column:
+        if c == text:
+            return F.col("clean").alias(c)
+        if c in again:
+            return again[c](F.col("clean")).cast(types[c]).alias(c)
+        return F.col("row").getField(c).alias(c)
+
+    return out.select(*map(value, pages.columns))
+
+
 def oracle(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
     return f"""
         WITH l AS (
