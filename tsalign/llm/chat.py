@@ -109,6 +109,7 @@ def expand(
 
 def turns_of(formatted: Column) -> Column:
     """The turns read back from an example: an array of ``role`` and ``text``."""
+    formatted = F.substring(formatted, F.lit(len(BEGIN) + 1), F.length(formatted))
     marks, texts, ends = (F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(i)) for i in (1, 2, 3))
     parts = F.arrays_zip(marks.alias("m"), texts.alias("t"), ends.alias("e"))
 
