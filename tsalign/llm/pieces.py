@@ -40,7 +40,7 @@ SPACE = "▁"
 #: Score of a character without a piece, below the least score of the vocabulary.
 UNKNOWN = 10.0
 #: Parts up to this length are handled together; distinct parts remembered; characters between two looks for new ones.
-TOGETHER, REMEMBERED, BLOCK = 32, 400_000, 1_000_000
+TOGETHER, REMEMBERED, BLOCK = 32, 500_000, 1_000_000
 
 _NONE, _BYTES = -1, -2
 
@@ -53,7 +53,10 @@ class Pieces:
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(texts, kinds)) if k == "byte"}
         self.texts = [t if k == "normal" else "" for t, k in zip(texts, kinds)]
         normal = [(t, i) for i, (t, k) in enumerate(zip(texts, kinds)) if k == "normal"]
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.shown = [t.replace(SPACE, " ") for t in self.texts]
+        self.byte_value = np.full(len(texts), -1)
+        for b, i in self.bytes.items():
+            self.byte_value[i] = b
         least = min(scores[i] for _, i in normal)
         #: indexed by piece, then -2 (bytes of a character) and -1 (no piece)
         self.score = np.array([*scores, least - UNKNOWN, -np.inf])
@@ -338,19 +341,17 @@ class Encoder:
 
 def decode_ids(pieces: Pieces, ids) -> str:
     """The text of a sequence of pieces."""
-    out, pending = [], bytearray()
-    texts, byte_of = pieces.texts, pieces.byte_of
-    for i in ids:
-        b = byte_of.get(i)
-        if b is None:
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            out.append(texts[i].replace(SPACE, " "))
+    ids = np.asarray(ids, dtype=np.int64)
+    if not len(ids):
+        return ""
+    values = pieces.byte_value[ids]
+    ends = np.flatnonzero(np.diff(values >= 0)) + 1
+    out = []
+    for start, end in zip([0, *ends.tolist()], [*ends.tolist(), len(ids)]):
+        if values[start] >= 0:
+            out.append(values[start:end].astype(np.uint8).tobytes().decode("utf-8", "replace"))
         else:
-            pending.append(b)
-    if pending:
-        out.append(pending.decode("utf-8", "replace"))
+            out.append("".join(map(pieces.shown.__getitem__, ids[start:end].tolist())))
     return "".join(out)[1:]
 
 
@@ -401,7 +402,9 @@ def _encoded(encoder: Encoder, rows: pa.RecordBatch, texts: list[str | None]) ->
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else decode_ids(shared.value, ids) for ids in batch.column("ids").to_pylist()]
+            # row by row: the pieces of a whole batch as Python numbers would take many times its size
+            rows = (x.values.to_numpy() if x.is_valid else None for x in batch.column("ids"))
+            texts = [None if ids is None else decode_ids(shared.value, ids) for ids in rows]
             keep = [c for c in batch.schema.names if c != "decoded"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "decoded"])
 
@@ -429,9 +432,20 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.mapInArrow(_decode(shared), StructType([*fields, StructField("decoded", StringType())]))
 
 
+def _round_trip(shared, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _decode(shared)(_encode(shared, n)(batches)):
+            exact = [a.as_py() == b.as_py() for a, b in zip(batch.column("text"), batch.column("decoded"))]
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(exact, pa.bool_())], [*keep, "exact"])
+
+    return run
+
+
 def round_trip(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """Encode, decode, compare: ``doc_id, n_pieces, ids, score, alternatives, exact``."""
-    both = decode(encode(docs, n, id_col, text_col, model), model)
-    count = F.when(F.col("ids").isNotNull(), F.size("ids"))
-    exact = F.col("decoded").eqNullSafe(F.col("text"))
-    return both.select("doc_id", count.alias("n_pieces"), "ids", "score", "alternatives", exact.alias("exact"))
+    """Encode, decode and compare in one pass: ``doc_id, decoded, n_pieces, ids, score, alternatives, exact``."""
+    shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"doc_id long, ids array<int>, score double, alternatives {_EDIT}, decoded string, exact boolean"
+    count = F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_pieces")
+    return rows.mapInArrow(_round_trip(shared, n), schema).select("doc_id", "decoded", count, "ids", "score", "alternatives", "exact")

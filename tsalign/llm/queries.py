@@ -65,4 +65,4 @@ def op9_tag_path_text(spark, sf_dir):
 
 @query("op10_nbest_pieces")
 def op10_nbest_pieces(spark, sf_dir):
-    return pieces.round_trip(table(spark, sf_dir, "documents"))
+    return pieces.round_trip(table(spark, sf_dir, "documents")).drop("decoded")
