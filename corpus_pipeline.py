@@ -42,9 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, text, n_pieces, ids, score, alternatives``; the text is the one decoded from the ids."""
-    rows = pieces.decode(pieces.encode(docs))
-    n = F.when(F.col("ids").isNotNull(), F.size("ids"))
-    return rows.select("doc_id", F.col("decoded").alias("text"), n.alias("n_pieces"), "ids", "score", "alternatives")
+    rows = pieces.round_trip(docs)
+    return rows.select("doc_id", F.col("decoded").alias("text"), "n_pieces", "ids", "score", "alternatives")
 
 
 STAGES = [
