@@ -275,7 +275,7 @@ def test_baseline(spark, kind):
 def test_prompt(spark):
     row = (0.5, 1234567.0, 0.0001, 40, 3, -1.5, 2, "n" * 600, 12.34)
     df = spark.createDataFrame([row], "return_1h double, volume double, funding_rate double, fear_greed_value int, gdelt_econ_volume long, gdelt_econ_tone double, gdelt_conflict_volume long, text_content string, target_score double")
-    text = df.select(format_prompt()).first().prompt
+    text = df.select(format_prompt(500)).first().prompt
     assert "- Price return (1h): 0.50%\n- Volume: 1,234,567\n- Funding rate: 0.0001\n- Fear/Greed: 40/100" in text
     assert "n" * 500 in text and "n" * 501 not in text and text.endswith("Answer: 12.3")
-    assert "n" * 600 in df.select(format_prompt(None)).first().prompt
+    assert "n" * 600 in df.select(format_prompt()).first().prompt

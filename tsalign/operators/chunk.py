@@ -10,7 +10,9 @@ never used on the data itself. Instead:
 * unbounded frames run per ``(key, chunk)`` and take the state at the chunk's
   start from a prefix over the table of chunks.
 
-Key columns must not be NULL.
+A NULL key is a key of its own: joins and windows run on the keys as one struct,
+whose fields compare equal when both are NULL. A row without a position keeps
+its place in the result and gets no index.
 """
 
 from __future__ import annotations
@@ -35,6 +37,17 @@ def chunk_of(pos: str | Column, rows: int) -> Column:
     return F.floor(pos / F.lit(rows)).cast("long")
 
 
+def joint(keys: Sequence[str]) -> Column:
+    """Several keys as one that is never NULL and compares NULL fields as equal."""
+    return F.struct(*keys)
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where NULL matches NULL. Leaves the joint key in ``_joint`` for windows that reuse the shuffle."""
+    rest = [c for c in right.columns if c not in keys]
+    return left.withColumn("_joint", joint(keys)).join(right.select(joint(keys).alias("_joint"), *rest), "_joint", how)
+
+
 def earlier(by: Sequence[str], on: str) -> WindowSpec:
     """All earlier rows of a table of chunks or partitions; never used on the data itself."""
     return Window.partitionBy(*by).orderBy(on).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +89,7 @@ def row_index(
     if total:
         parts = parts.withColumn(total, F.sum("_in_part").over(Window.partitionBy(*by)))
     parts = durable(parts.drop("_in_part"), "parts")
-    indexed = placed.join(parts, [*by, "_part"])
+    indexed = join_keys(placed, parts, [*by, "_part"])
     keep = [*df.columns, *([total] if total else [])]
     return indexed.select(*keep, (F.col("_place") - F.col("_first") + F.col("_before")).alias(name))
 
@@ -94,14 +107,16 @@ def grid_index(
     Uniqueness bounds a chunk of ``rows`` consecutive values to ``rows`` rows,
     whatever the data. Lazy: one narrow count pass and one shuffle. Use grid
     units (hours, days, an earlier index), not raw epochs, so chunks are full.
+    Rows without a position spread over groups below all chunks and get no index.
     """
-    chunked = df.withColumn("_chunk", chunk_of(pos, rows))
-    sizes = chunked.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_in_chunk"))
+    sizes = df.where(F.col(pos).isNotNull()).groupBy(*by, chunk_of(pos, rows).alias("_chunk"))
+    sizes = sizes.agg(F.count(F.lit(1)).alias("_in_chunk"))
+    chunked = df.withColumn("_chunk", F.coalesce(chunk_of(pos, rows), -1 - F.spark_partition_id().cast("long")))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in_chunk").over(earlier(by, "_chunk")), F.lit(0)))
     if total:
         sizes = sizes.withColumn(total, F.sum("_in_chunk").over(Window.partitionBy(*by)))
-    within = Window.partitionBy(*by, "_chunk").orderBy(pos)
-    indexed = chunked.join(sizes.drop("_in_chunk"), [*by, "_chunk"])
+    within = Window.partitionBy("_joint").orderBy(pos)
+    indexed = join_keys(chunked, sizes.drop("_in_chunk"), [*by, "_chunk"], "left")
     keep = [c for c in df.columns if c not in (name, total)]
     extra = [total] if total else []
     return indexed.select(*keep, *extra, (F.row_number().over(within) - 1 + F.col("_before")).alias(name))
@@ -140,14 +155,12 @@ def forward_fill(
     carried = tails.select(
         *by, "_chunk", *[F.last(f"_tail_{t}", True).over(before).alias(f"_carry_{t}") for t in cols.values()]
     )
-    joined = chunked.join(carried, [*by, "_chunk"], "left")
-    so_far = (
-        Window.partitionBy(*by, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    joined = join_keys(chunked, carried, [*by, "_chunk"], "left")
+    so_far = Window.partitionBy("_joint").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = joined.withColumns(
         {t: F.coalesce(F.last(c, True).over(so_far), F.col(f"_carry_{t}")) for c, t in cols.items()}
     )
-    return filled.drop("_chunk", *[f"_carry_{t}" for t in cols.values()])
+    return filled.drop("_chunk", "_joint", *[f"_carry_{t}" for t in cols.values()])
 
 
 def running_min_before(
@@ -157,6 +170,6 @@ def running_min_before(
     chunked = df.withColumn("_chunk", chunk_of(pos, rows))
     lows = chunked.groupBy(*by, "_chunk").agg(F.min(col).alias("_low"))
     carried = lows.select(*by, "_chunk", F.min("_low").over(earlier(by, "_chunk")).alias("_carry"))
-    before = Window.partitionBy(*by, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    joined = chunked.join(carried, [*by, "_chunk"], "left")
-    return joined.withColumn(name, F.least(F.min(col).over(before), F.col("_carry"))).drop("_chunk", "_carry")
+    before = Window.partitionBy("_joint").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    joined = join_keys(chunked, carried, [*by, "_chunk"], "left")
+    return joined.withColumn(name, F.least(F.min(col).over(before), F.col("_carry"))).drop("_chunk", "_carry", "_joint")

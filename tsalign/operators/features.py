@@ -127,11 +127,11 @@ def tabular_baseline(
     return model.fit(ready(train)).transform(ready(test)).drop("_x")
 
 
-def format_prompt(text_chars: int | None = 500, name: str = "prompt", **columns: str) -> Column:
+def format_prompt(text_chars: int | None = None, name: str = "prompt", **columns: str) -> Column:
     """Instruction text of an aligned row, ending in its score.
 
-    ``columns`` renames the fields read. Only this text shortens the news, to
-    ``text_chars`` characters as documented; ``None`` takes them whole.
+    ``columns`` renames the fields read. The news are taken whole, or shortened
+    to ``text_chars`` characters (the documented prompt has 500).
     """
     c = lambda field: F.col(columns.get(field, field))
     news = c("text_content") if text_chars is None else F.substring(c("text_content"), 1, text_chars)

@@ -41,19 +41,38 @@ def join_perp_metrics(
 def compare_to_claims(
     actual: DataFrame, claims: DataFrame, keys: Sequence[str], tolerance: float = 0.01
 ) -> DataFrame:
-    """``actual`` against ``claimed``: difference and whether it is below the tolerance."""
+    """``actual`` against ``claimed``: difference and whether it is below the tolerance.
+
+    A claim about something that is not there stays and is not ok.
+    """
     gap = F.col("actual") - F.col("claimed")
-    return actual.join(claims, list(keys), "left").withColumns(
+    return actual.join(claims, list(keys), "full_outer").withColumns(
         {"difference": gap, "ok": F.coalesce(F.abs(gap) < F.lit(tolerance), F.lit(False))}
     )
 
 
-def zip_modalities(tables: Sequence[DataFrame], keys: Sequence[str] = ("asset", "split", "row_idx")) -> DataFrame:
-    """Feature tables glued by row key instead of by file position."""
-    glued = tables[0]
-    for other in tables[1:]:
-        glued = glued.join(other, list(keys))
-    return glued
+def zip_modalities(
+    tables: Sequence[DataFrame], keys: Sequence[str] = ("asset", "split", "row_idx"), missing: str = "error"
+) -> DataFrame:
+    """Feature tables glued by row key instead of by file position.
+
+    A key that some table lacks fails the query, with ``missing="null"`` it
+    stays and that table's columns are NULL.
+    """
+    if missing not in ("error", "null"):
+        raise ValueError(f"unknown missing: {missing}")
+    marks = [f"_in_{i}" for i in range(len(tables))]
+    tagged = [t.withColumn(m, F.lit(True)) for t, m in zip(tables, marks)]
+    glued = tagged[0]
+    for other in tagged[1:]:
+        glued = glued.join(other, list(keys), "full_outer")
+    if missing == "error":
+        whole = F.lit(True)
+        for m in marks:
+            whole = whole & F.col(m).isNotNull()
+        where = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+        glued = glued.where(F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("a modality lacks row "), where)).cast("boolean")))
+    return glued.drop(*marks)
 
 
 def modality_counts_match(tables: Sequence[DataFrame], keys: Sequence[str] = ("asset", "split")) -> DataFrame:

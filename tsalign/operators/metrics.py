@@ -59,9 +59,9 @@ def batch_mean_metrics(
 
 
 def error_table(
-    df: DataFrame, idx: str, prediction: str = "prediction", target: str = "target", n: int | None = 100
+    df: DataFrame, idx: str, prediction: str = "prediction", target: str = "target", n: int | None = None
 ) -> DataFrame:
-    """Index, truth, prediction, error and relative error; the first ``n`` by index, or all."""
+    """Index, truth, prediction, error and relative error; all rows, or the first ``n`` by index."""
     p, t = F.col(prediction), F.col(target)
     out = df.select(
         F.col(idx).alias("idx"),

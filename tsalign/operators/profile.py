@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tsalign.functions.classes import significance_stars
 from tsalign.functions.scalar import is_outlier_iqr, is_outlier_z
+from tsalign.operators.chunk import join_keys
 from tsalign.operators.durable import durable
 from tsalign.operators.quantile import QUARTILES, counts_with_fences, melt, quantiles
 
@@ -68,9 +69,9 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Data
 
 
 def target_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """:func:`describe` with exact quartiles."""
+    """:func:`describe` with exact quartiles; a feature without values has count 0 and NULLs."""
     keys = [*by, "feature"]
-    return describe(df, cols, by).join(quantiles(df, by, cols, QUARTILES), keys)
+    return join_keys(describe(df, cols, by), quantiles(df, by, cols, QUARTILES), keys, "left").drop("_joint")
 
 
 def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -150,25 +151,23 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50, by: Sequence[s
     )
     place = F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * bins)
     hits = (
-        melt(df, by, cols)
-        .join(ranges, keys)
+        join_keys(melt(df, by, cols), ranges, keys)
         .groupBy(*keys, F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(bins // 2)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     grid = ranges.where(F.col("low").isNotNull()).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("high") - F.col("low")) / bins
     return (
-        grid.withColumn("bin", F.col("bin").cast("long"))
-        .join(hits, [*keys, "bin"], "left")
+        join_keys(grid.withColumn("bin", F.col("bin").cast("long")), hits, [*keys, "bin"], "left")
         .select(*keys, "bin", (F.col("low") + width * F.col("bin")).alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))
     )
 
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Quartiles and whiskers (most extreme values within 1.5 IQR of the box)."""
+    """Quartiles and whiskers (most extreme values within 1.5 IQR of the box); NULLs for a feature without values."""
     fenced = counts_with_fences(df, by, cols)
     value = F.col("value")
-    return (
+    boxes = (
         fenced.groupBy(*by, "feature", "q1", "median", "q3")
         .agg(
             F.min(F.when(value >= F.col("lower"), value)).alias("_lo"),
@@ -179,6 +178,8 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
         )
         .drop("_lo", "_hi")
     )
+    every = _per_feature(df, by, cols, lambda c: {"_n": F.count(c)}).drop("_n")
+    return join_keys(every, boxes, [*by, "feature"], "left").drop("_joint")
 
 
 def outlier_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -198,7 +199,7 @@ def outlier_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -
     beyond = (value < F.col("lower")) | (value > F.col("upper"))
     far = F.abs(F.try_divide(value - F.col("_mean"), F.col("_std"))) > 3
     counted = (
-        fenced.join(stats, keys)
+        join_keys(stats, fenced, keys, "left")
         .groupBy(*keys)
         .agg(
             F.max("_rows").alias("_rows"),
@@ -236,8 +237,12 @@ def outlier_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return flagged.withColumns(out).drop("_s")
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularised incomplete beta function (modified Lentz)."""
+def _beta_fraction(a: float, b: float, x: float) -> float | None:
+    """Continued fraction of the regularised incomplete beta function (modified Lentz).
+
+    Converges in a number of steps that grows with the root of the larger
+    parameter; NULL if rounding ever keeps it from settling.
+    """
     tiny = 1e-300
     numerator = lambda m: (
         m // 2 * (b - m // 2) * x / ((a + m - 1) * (a + m))
@@ -246,8 +251,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     )
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(2, 10_000):
+    value, m, last = d, 2, 100 * (10 + math.isqrt(int(max(a, b))))
+    while m < last:
         step = numerator(m)
         d = 1.0 + step * d
         d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -255,24 +260,39 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
         c = c if abs(c) > tiny else tiny
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+        m += 1
+    return None
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
+def incomplete_beta(a: float, b: float, x: float) -> float | None:
+    """Regularised incomplete beta function."""
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
     front = math.exp(
         math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     )
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+        part = _beta_fraction(a, b, x)
+        return None if part is None else front * part / a
+    part = _beta_fraction(b, a, 1.0 - x)
+    return None if part is None else 1.0 - front * part / b
+
+
+#: Degrees of freedom from which Hill's normal expansion (1970) is exact to double precision.
+_NEARLY_NORMAL = 10_000.0
 
 
-def t_p_value(t: float, freedom: float) -> float:
+def t_p_value(t: float, freedom: float) -> float | None:
     """Two-sided p-value of Student's t."""
-    return incomplete_beta(freedom / 2.0, 0.5, freedom / (freedom + t * t))
+    if freedom < _NEARLY_NORMAL:
+        return incomplete_beta(freedom / 2.0, 0.5, freedom / (freedom + t * t))
+    less = freedom - 0.5
+    w = math.sqrt(less * math.log1p(t * t / freedom))
+    scale = 48.0 * less * less
+    z = w + (w**3 + 3 * w) / scale
+    z -= (4 * w**7 + 33 * w**5 + 240 * w**3 + 855 * w) / (10 * scale * (scale + 0.8 * w**4 + 100))
+    return math.erfc(z / math.sqrt(2.0))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsalign.operators.chunk import arrange, earlier
+from tsalign.operators.chunk import arrange, earlier, join_keys
 from tsalign.operators.durable import durable
 
 
@@ -52,10 +52,8 @@ def quantiles_of(counted: DataFrame, by: Sequence[str], probs: dict[str, float])
         needed = needed | covers(F.floor(at), F.col("_before"), end) | covers(F.ceil(at), F.col("_before"), end)
     parts = durable(parts.where(needed).drop("_n"), "parts")
 
-    so_far = (
-        Window.partitionBy(*keys, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counted.join(parts, [*keys, "_part"])
+    so_far = Window.partitionBy("_joint").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = join_keys(counted, parts, [*keys, "_part"])
     ranked = ranked.withColumn("_hi", F.sum("rows").over(so_far) + F.col("_before"))
     lo, hi = F.col("_hi") - F.col("rows"), F.col("_hi")
     aggs = []
@@ -83,4 +81,4 @@ def counts_with_fences(df: DataFrame, by: Sequence[str], cols: Sequence[str]) ->
     quartiles = durable(quantiles_of(counted, by, QUARTILES), "quartiles")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fenced = quartiles.withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
-    return counted.drop("_place", "_part").join(fenced, [*by, "feature"])
+    return join_keys(counted.drop("_place", "_part"), fenced, [*by, "feature"]).drop("_joint")

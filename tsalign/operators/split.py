@@ -33,7 +33,8 @@ def label_split(
     at = F.col(pos)
     return df.withColumn(
         "split",
-        F.when(at < a, SPLITS[0])
+        F.when(at.isNull(), None)
+        .when(at < a, SPLITS[0])
         .when(at < b, "embargo_1")
         .when(at < c, SPLITS[1])
         .when(at < d, "embargo_2")

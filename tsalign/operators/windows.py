@@ -42,19 +42,20 @@ def sequence_windows(
     """Sample ``idx``: feature rows ``idx … idx+length-1``, target and keys of row ``idx+length``.
 
     Only the named columns travel. A series no longer than ``length`` has no
-    sample; :func:`short_series` lists those. With ``by=[]`` windows run over
+    sample; :func:`short_series` lists those. NULLs keep their place. With ``by=[]`` windows run over
     the concatenation of all series.
     """
     slim = df.select(*dict.fromkeys([*by, pos, *features, target, *keys]))
     spread, w = framed(slim, by, pos, back=length, rows=rows)
     past = w.rowsBetween(-length, -1)
-    lists = {f"_seq_{f}": F.collect_list(f).over(past) for f in features}
-    full = home_rows(spread.withColumns(lists), pos, rows).where(F.col(pos) >= length)
+    # one list of structs: a list of a column would leave its NULLs out and fall short
+    seen = F.collect_list(F.struct(*features)).over(past)
+    full = home_rows(spread.withColumn("_seq", seen), pos, rows).where(F.col(pos) >= length)
     carried = [c for c in dict.fromkeys([*by, *keys]) if c not in features]
     return full.select(
         *carried,
         (F.col(pos) - length).alias("idx"),
-        *[F.col(f"_seq_{f}").alias(f) for f in features],
+        *[F.col("_seq")[f].alias(f) for f in features],
         F.col(target).alias("target"),
     )
 
@@ -90,9 +91,11 @@ def null_context(df: DataFrame, by: Sequence[str], pos: str, col: str, k: int =
     return near.withColumn("is_null", F.col(col).isNull())
 
 
-def null_positions(df: DataFrame, by: Sequence[str], pos: str, col: str, n: int = 20) -> DataFrame:
-    """The first ``n`` positions holding NULL, per series."""
+def null_positions(df: DataFrame, by: Sequence[str], pos: str, col: str, n: int | None = None) -> DataFrame:
+    """The positions holding NULL, all or the first ``n`` per series."""
     nulls = df.where(F.col(col).isNull()).select(*by, pos)
+    if n is None:
+        return nulls
     if not by:
         return nulls.orderBy(pos).limit(n)
     ranked = nulls.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(pos)))

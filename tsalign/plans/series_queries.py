@@ -268,6 +268,33 @@ def row_index_query(spark, folder):
     return row_index(events, ["event_type"], ["ts", "event_id"]).select("event_id", "event_type", "row_idx")
 
 
+@query(
+    "row_index_nulls",
+    """WITH e AS (SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN event_type END AS kind, ts FROM events)
+SELECT event_id, kind, row_number() OVER (PARTITION BY kind ORDER BY ts, event_id) - 1 AS row_idx,
+  count(*) OVER (PARTITION BY kind) AS total FROM e""",
+)
+def row_index_nulls(spark, folder):
+    kind = F.when(F.col("user_id") % 7 != 0, F.col("event_type"))
+    events = load(spark, folder, "events").select("event_id", kind.alias("kind"), "ts")
+    return row_index(events, ["kind"], ["ts", "event_id"], total="total").drop("ts")
+
+
+@query(
+    "grid_index_nulls",
+    """WITH o AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS kind, CASE WHEN o_custkey % 5 <> 0 THEN o_orderkey END AS pos FROM orders)
+SELECT o_orderkey, kind, CASE WHEN pos IS NOT NULL THEN
+  count(pos) OVER (PARTITION BY kind ORDER BY pos NULLS FIRST ROWS UNBOUNDED PRECEDING) - 1 END AS row_idx FROM o""",
+)
+def grid_index_nulls(spark, folder):
+    orders = load(spark, folder, "orders").select(
+        "o_orderkey",
+        F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("kind"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderkey")).alias("pos"),
+    )
+    return grid_index(orders, ["kind"], "pos").select("o_orderkey", "kind", "row_idx")
+
+
 @query(
     "batches",
     f"""WITH {PREDICTIONS},
@@ -451,6 +478,29 @@ def bar_windows(spark, folder):
     )
 
 
+@query(
+    "bar_windows_holes",
+    f"""WITH {BARS},
+framed AS (SELECT asset, timestamp, row_number() OVER w0 - 1 AS rn, CASE WHEN volume % 3 <> 0 THEN close END AS target,
+   list(CASE WHEN volume % 3 <> 0 THEN close END) OVER (PARTITION BY asset ORDER BY timestamp ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS seq
+   FROM bars WINDOW w0 AS (PARTITION BY asset ORDER BY timestamp))
+SELECT asset, rn - 24 AS idx, len(seq) AS n, len(list_filter(seq, lambda x: x IS NULL)) AS holes,
+  seq[1] AS first_close, seq[-1] AS last_close, target FROM framed WHERE rn >= 24""",
+)
+def bar_windows_holes(spark, folder):
+    bars_ = indexed_bars(spark, folder).withColumn("close", F.when(F.col("volume") % 3 != 0, F.col("close")))
+    out = sequence_windows(bars_, KEY, "row_idx", ["close"], "close")
+    return out.select(
+        "asset",
+        "idx",
+        F.size("close").cast("long").alias("n"),
+        F.size(F.filter("close", lambda x: x.isNull())).cast("long").alias("holes"),
+        F.col("close")[0].alias("first_close"),
+        F.element_at("close", -1).alias("last_close"),
+        "target",
+    )
+
+
 @query(
     "short_series",
     "SELECT CAST(o_custkey AS BIGINT) AS o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) <= 10",
@@ -524,8 +574,7 @@ def null_context_query(spark, folder):
 @query(
     "null_positions",
     f"""WITH {_HOLED}
-SELECT asset, row_idx FROM holed WHERE close IS NULL
-QUALIFY row_number() OVER (PARTITION BY asset ORDER BY row_idx) <= 20""",
+SELECT asset, row_idx FROM holed WHERE close IS NULL""",
 )
 def null_positions_query(spark, folder):
     return null_positions(_holed(spark, folder), KEY, "row_idx", "close")
@@ -561,3 +610,22 @@ def running_best_query(spark, folder):
 def keep_last_n_query(spark, folder):
     orders = load(spark, folder, "orders").select("o_custkey", "o_orderkey")
     return keep_last_n(orders, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "keep")
+
+
+@query(
+    "ema_holes",
+    f"""WITH RECURSIVE {_HOLED},
+obs AS (SELECT asset, row_idx, close, row_number() OVER w - 1 AS o, row_idx - lag(row_idx) OVER w AS gap
+  FROM holed WHERE close IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY row_idx)),
+e AS (SELECT asset, row_idx, o, close AS y FROM obs WHERE o = 0
+  UNION ALL
+  SELECT d.asset, d.row_idx, d.o, (pow(11.0::DOUBLE / 13, d.gap) * e.y + (2.0::DOUBLE / 13) * d.close) / (pow(11.0::DOUBLE / 13, d.gap) + 2.0::DOUBLE / 13)
+  FROM e JOIN obs d ON d.asset = e.asset AND d.o = e.o + 1),
+filled AS (SELECT asset, row_idx, last_value(y IGNORE NULLS) OVER w AS y, last_value(o IGNORE NULLS) OVER w AS o
+  FROM holed LEFT JOIN e USING (asset, row_idx) WINDOW w AS (PARTITION BY asset ORDER BY row_idx ROWS UNBOUNDED PRECEDING))
+SELECT asset, row_idx, CASE WHEN o >= 11 THEN round(y, 4) END AS ema FROM filled""",
+)
+def ema_holes(spark, folder):
+    holed = durable(_holed(spark, folder), "holed")
+    out = ema(holed, KEY, "row_idx", [Ema.span("close", "ema", 12, 12)], holes=True)
+    return out.select("asset", "row_idx", F.round("ema", 4).alias("ema"))

@@ -143,6 +143,59 @@ _QUARTILES = """q AS (SELECT l_returnflag, feature, quantile_cont(value, 0.25) A
   quantile_cont(value, 0.75) AS q3, avg(value) AS mean, stddev_samp(value) AS std, count(*) AS rows_ FROM long GROUP BY 1, 2)"""
 
 
+_NULLED = """nulled AS (SELECT nullif(o_orderstatus, 'F') AS status, o_totalprice AS price FROM orders)"""
+
+
+def _nulled(spark, folder):
+    """Orders with a NULL group, and a feature that has no values."""
+    status = F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status")
+    return load(spark, folder, "orders").select(status, F.col("o_totalprice").alias("price"), F.lit(None).cast("double").alias("nothing"))
+
+
+@query(
+    "target_profile_nulls",
+    f"""WITH {_NULLED}
+SELECT status, 'price' AS feature, count(*) AS n, min(price) AS min, max(price) AS max, round(quantile_cont(price, 0.5), 4) AS median FROM nulled GROUP BY 1
+UNION ALL SELECT DISTINCT status, 'nothing', 0, NULL, NULL, NULL FROM nulled""",
+)
+def target_profile_nulls(spark, folder):
+    out = target_profile(_nulled(spark, folder), ["price", "nothing"], ["status"])
+    return out.select("status", "feature", "n", "min", "max", F.round("median", 4).alias("median"))
+
+
+@query(
+    "histogram_nulls",
+    f"""WITH {_NULLED}, ranges AS (SELECT status, min(price) AS lo, max(price) AS hi FROM nulled GROUP BY 1),
+hits AS (SELECT n.status, least(CAST(floor((price - lo) / (hi - lo) * 20) AS BIGINT), 19) AS bin, count(*) AS n
+  FROM nulled n JOIN ranges g ON n.status IS NOT DISTINCT FROM g.status GROUP BY 1, 2)
+SELECT ranges.status, 'price' AS feature, b AS bin, coalesce(n, 0) AS n
+FROM ranges CROSS JOIN range(20) t(b) LEFT JOIN hits h ON h.status IS NOT DISTINCT FROM ranges.status AND h.bin = b""",
+)
+def histogram_nulls(spark, folder):
+    return histogram(_nulled(spark, folder), ["price", "nothing"], 20, ["status"]).drop("edge")
+
+
+@query(
+    "outliers_nulls",
+    f"""WITH {_NULLED}, q AS (SELECT status, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, avg(price) AS m, stddev_samp(price) AS s FROM nulled GROUP BY 1)
+SELECT n.status, 'price' AS feature, count(*) FILTER (price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)) AS iqr_outliers,
+  count(*) FILTER (abs((price - m) / s) > 3) AS z_outliers FROM nulled n JOIN q ON n.status IS NOT DISTINCT FROM q.status GROUP BY 1
+UNION ALL SELECT DISTINCT status, 'nothing', 0, 0 FROM nulled""",
+)
+def outliers_nulls(spark, folder):
+    return outlier_counts(_nulled(spark, folder), ["price", "nothing"], ["status"]).drop("iqr_pct", "z_pct")
+
+
+@query(
+    "boxplot_nulls",
+    f"""WITH {_NULLED} SELECT status, 'price' AS feature, round(quantile_cont(price, 0.25), 4) AS q1, round(quantile_cont(price, 0.75), 4) AS q3 FROM nulled GROUP BY 1
+UNION ALL SELECT DISTINCT status, 'nothing', NULL, NULL FROM nulled""",
+)
+def boxplot_nulls(spark, folder):
+    out = boxplot_stats(_nulled(spark, folder), ["price", "nothing"], ["status"])
+    return out.select("status", "feature", F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"))
+
+
 @query(
     "boxplot",
     f"""WITH {LONG}, {_QUARTILES}
@@ -334,7 +387,7 @@ def batch_metrics(spark, folder):
 @query(
     "error_table",
     f"""WITH {PREDICTIONS} SELECT idx, target, prediction, round(prediction - target, 2) + 0.0 AS error,
-  round((prediction - target) / greatest(abs(target), 1e-6), 6) + 0.0 AS relative_error FROM pred ORDER BY idx LIMIT 100""",
+  round((prediction - target) / greatest(abs(target), 1e-6), 6) + 0.0 AS relative_error FROM pred""",
 )
 def error_table_query(spark, folder):
     out = error_table(predictions(spark, folder), "idx")
@@ -346,7 +399,7 @@ def error_table_query(spark, folder):
     f"""WITH {PREDICTIONS} SELECT idx, round((prediction - target) / greatest(abs(target), 1e-6), 6) + 0.0 AS relative_error FROM pred""",
 )
 def relative_error_query(spark, folder):
-    out = error_table(predictions(spark, folder), "idx", n=None)
+    out = error_table(predictions(spark, folder), "idx")
     return out.select("idx", r("relative_error").alias("relative_error"))
 
 
@@ -425,7 +478,7 @@ def validate_news_query(spark, folder):
     return validate_news(joined, ["quality", "toxic"]).select("doc_id", "violation")
 
 
-CLAIMS = [("l_quantity", "mean", 25.5), ("l_quantity", "max", 50.0), ("l_discount", "mean", 0.05), ("l_tax", "min", 0.01)]
+CLAIMS = [("l_quantity", "mean", 25.5), ("l_quantity", "max", 50.0), ("l_discount", "mean", 0.05), ("l_tax", "min", 0.01), ("l_absent", "mean", 1.0)]
 _CLAIM_ROWS = ", ".join(f"('{f}', '{s}', {c}::DOUBLE)" for f, s, c in CLAIMS)
 
 
@@ -436,7 +489,7 @@ stats AS (SELECT feature, min(value) AS min, max(value) AS max, avg(value) AS me
 actual AS (SELECT feature, 'min' AS stat, min AS actual FROM stats UNION ALL SELECT feature, 'max', max FROM stats
            UNION ALL SELECT feature, 'mean', mean FROM stats UNION ALL SELECT feature, 'std', std FROM stats)
 SELECT feature, stat, round(actual, 4) AS actual, claimed, round(actual - claimed, 4) + 0.0 AS difference,
-  coalesce(abs(actual - claimed) < 0.01, false) AS ok FROM actual LEFT JOIN claims USING (feature, stat)""",
+  coalesce(abs(actual - claimed) < 0.01, false) AS ok FROM actual FULL JOIN claims USING (feature, stat)""",
 )
 def claims(spark, folder):
     stats = ["min", "max", "mean", "std"]

@@ -617,6 +617,19 @@ def zip_modalities_query(spark, folder):
     )
 
 
+@query(
+    "zip_modalities_unequal",
+    """WITH a AS (SELECT vec_id % 2 AS asset, vec_id // 2 AS row_idx, embedding[1] AS x FROM embeddings WHERE vec_id % 3 <> 0),
+b AS (SELECT vec_id % 2 AS asset, vec_id // 2 AS row_idx, label AS target FROM embeddings WHERE vec_id % 5 <> 0)
+SELECT asset, row_idx, x, target FROM a FULL JOIN b USING (asset, row_idx)""",
+)
+def zip_modalities_unequal(spark, folder):
+    vectors = load(spark, folder, "embeddings").withColumns({"asset": F.col("vec_id") % 2, "row_idx": F.floor(F.col("vec_id") / 2)})
+    left = vectors.where("vec_id % 3 <> 0").select("asset", "row_idx", F.col("embedding")[0].alias("x"))
+    right = vectors.where("vec_id % 5 <> 0").select("asset", "row_idx", F.col("label").alias("target"))
+    return zip_modalities([left, right], ["asset", "row_idx"], missing="null")
+
+
 @query(
     "modality_counts",
     """SELECT 'A' || (vec_id % 2) AS asset, 'train' AS split, count(*) AS rows_0, count(*) AS rows_1, count(*) AS rows_2,
@@ -687,7 +700,7 @@ def _baseline(spark, folder, cols, kind="linear"):
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_shipdate"
     )
     early = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")
-    out = tabular_baseline(lines.where(early), lines.where(~early), cols, "l_extendedprice", kind, rounds=5)
+    out = tabular_baseline(lines.where(early), lines.where(~early), cols, "l_extendedprice", kind)
     return out.select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
 
 

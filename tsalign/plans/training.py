@@ -26,7 +26,7 @@ def feature_tables(
 ) -> dict[str, DataFrame]:
     """Raw (unscaled) ``text``, ``tabular`` and ``target`` tables keyed by asset, split and row.
 
-    ``images(image_path, vector)`` adds the ``image`` table.
+    ``images(image_path, vector)`` adds the ``image`` table; a row without a vector keeps a NULL there.
     """
     out = {
         "text": embed_column(aligned.select(*KEYS, "text_content"), "text_content", "vector", encoder).select(*KEYS, "vector"),
@@ -34,7 +34,7 @@ def feature_tables(
         "target": aligned.select(*KEYS, F.col("target_score").cast("float").alias("vector")),
     }
     if images is not None:
-        out["image"] = aligned.select(*KEYS, "image_path").join(images, "image_path").select(*KEYS, "vector")
+        out["image"] = aligned.select(*KEYS, "image_path").join(images, "image_path", "left").select(*KEYS, "vector")
     return out
 
 

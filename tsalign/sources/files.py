@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,9 +90,13 @@ def month_paths(df: DataFrame, start: Column, end: Column, template: str) -> Dat
 
 def read_monthly(spark: SparkSession, folder: str, prefix: str, start: str, end: str) -> DataFrame:
     """All monthly bar files of a series, sorted, first row per stamp; absent months do not match the glob."""
-    listed = month_paths(spark.range(1), F.lit(start), F.lit(end), "%s")
-    months = [r["month"] for r in listed.select("month").collect()]
-    merged = read_klines_raw(spark, f"{folder}/{prefix}{{{','.join(months)}}}*")
+    months, at, last = [], date.fromisoformat(start[:10]).replace(day=1), date.fromisoformat(end[:10])
+    while at <= last:
+        months.append(f"{at:%Y-%m}")
+        at = (at + timedelta(days=31)).replace(day=1)
+    merged = read_if_present(read_klines_raw, spark, f"{folder}/{prefix}{{{','.join(months)}}}*") if months else None
+    if merged is None:
+        return spark.createDataFrame([], ", ".join(["timestamp timestamp", *[f"{c} double" for c in BARS]]))
     return dedupe_keep_first(merged, ["timestamp"], FILE_ORDER).drop(*FILE_ORDER).orderBy("timestamp")
 
 
