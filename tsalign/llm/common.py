@@ -12,6 +12,20 @@ from tsalign.operators.durable import durable
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of an Arrow batch of whole texts; Spark's default of 10,000 holds too many of them in memory.
+BATCH_ROWS = 1000
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches made small enough for rows that are whole texts."""
+    session = df.sparkSession.conf
+    if not 0 < int(session.get(_BATCH)) <= BATCH_ROWS:
+        session.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

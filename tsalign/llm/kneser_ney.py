@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsalign.llm.common import measured, mix
+from tsalign.llm.common import measured, mix, whole_texts
 from tsalign.operators.durable import durable
 
 U64 = np.uint64
@@ -44,7 +44,7 @@ FOLDS = 5
 #: The held-out quantile of each language, and the tolerance on the perplexity it gives.
 QUANTILE, TOLERANCE = 0.995, 1.15
 #: Rows of a shard, shards between two writes, and characters handled at once.
-SHARD, SHARDS_AT_ONCE, BLOCK = 4_000_000, 8, 2_000_000
+SHARD, SHARDS_AT_ONCE, BLOCK = 4_000_000, 8, 500_000
 
 _BEGIN, _END, _NUL = 2, 3, 0x2400
 _FACTOR = U64(0x9E3779B97F4A7C15)
@@ -144,7 +144,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_grams(texts: DataFrame) -> DataFrame:
     """``key, g, c``: every 5-gram of ``texts`` (``text, train``) with its count in the rows to train on."""
     rows = texts.select("text", F.col("train").cast("boolean").alias("train"))
-    return rows.mapInArrow(_count, "key long, g string, c long").groupBy("key", "g").agg(F.sum("c").alias("c"))
+    return whole_texts(rows).mapInArrow(_count, "key long, g string, c long").groupBy("key", "g").agg(F.sum("c").alias("c"))
 
 
 def _discounts(levels: list[DataFrame]) -> list[tuple[float, float, float]]:
@@ -227,7 +227,7 @@ def perplexities(texts: DataFrame, scores: DataFrame, shard_rows: int = SHARD) -
         if len(keys) == 0:
             continue
         shard = context.broadcast((keys[order], part.column("logp").to_numpy()[order]))
-        rows = rows.mapInArrow(_scorer(shard), rows.schema)
+        rows = whole_texts(rows).mapInArrow(_scorer(shard), rows.schema)
         if (i + 1) % SHARDS_AT_ONCE == 0 and i + 1 < shards:
             rows = durable(rows, "scored")
     known = (F.col("found") > 0) & (F.col("found") == F.length("text") + 1)

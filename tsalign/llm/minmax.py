@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsalign.llm.common import measured, mix
+from tsalign.llm.common import measured, mix, whole_texts
 from tsalign.llm.components import components
 from tsalign.llm.shingles import shingle_sets
 from tsalign.operators.durable import durable
@@ -46,8 +46,10 @@ PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Bytes of shingle sets in a block, and rows and columns of a matrix.
-BLOCK_BYTES, CHUNK, COLUMNS = 8_000_000, 512, 8192
+#: Bytes of shingle sets in a block at most; blocks that a group is cut into even if it is smaller, and their least bytes.
+BLOCK_BYTES, BLOCKS, LEAST_BYTES = 8_000_000, 8, 250_000
+#: Rows and columns of a matrix.
+CHUNK, COLUMNS = 512, 8192
 
 _FACTOR = mix(np.arange(11, 11 + PERMUTATIONS, dtype=U64)) | U64(1)
 _SHIFT = mix(np.arange(100_011, 100_011 + PERMUTATIONS, dtype=U64))
@@ -91,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc``, its set size ``n``, ``set_id`` (128 bits that name the set) and its ``bands``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_sketch, "doc long, n long, set_id string, bands array<long>")
+    return whole_texts(texts).mapInArrow(_sketch, "doc long, n long, set_id string, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +171,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links ``a, b`` inside the loose groups of ``members`` (``node, grp``), a spanning forest for each unit of work."""
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    sets = durable(texts.join(members, "node").mapInArrow(_sets, "node long, grp long, set binary"), "sets")
+    sets = durable(whole_texts(texts).join(members, "node").mapInArrow(_sets, "node long, grp long, set binary"), "sets")
     # an id that repeats may bring a set of its own; both belong to the node
-    sizes = sets.groupBy("grp").agg(F.ceil(F.sum(F.length("set") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
+    size = F.sum(F.length("set") + 64)
+    blocks = F.greatest(F.ceil(size / BLOCK_BYTES), F.least(F.ceil(size / LEAST_BYTES), F.lit(BLOCKS)))
+    sizes = sets.groupBy("grp").agg(blocks.cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = sets.join(measured(sizes, "blocks"), "grp").select("grp", "blocks", block.alias("block"), "node", "set")
     unit = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS k))"))

@@ -29,18 +29,21 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.llm.common import whole_texts
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Score of a character without a piece, below the least score of the vocabulary.
 UNKNOWN = 10.0
 #: Parts up to this length are handled together; distinct parts remembered; characters between two looks for new ones.
-TOGETHER, REMEMBERED, BLOCK = 32, 500_000, 1_000_000
+TOGETHER, REMEMBERED, BLOCK = 32, 300_000, 1_000_000
 
 _NONE, _BYTES = -1, -2
 
@@ -183,13 +186,23 @@ class Encoder:
         self.score, self.loss = np.array([float(self.pieces.score[_BYTES])]), np.array([np.inf])
         self.alternatives: dict[int, list[tuple[float, list[int]]]] = {}
 
-    def learn(self, parts: set[str | None]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.clear()
-            new = [p for p in parts if p is not None]
+    def forget(self, wanted: set[str | None]) -> None:
+        """Drop all parts but the ``wanted`` ones, which get new numbers."""
+        keep = [i for i, p in enumerate(self.names) if p is None or p in wanted]
+        at = np.array(keep)
+        self.names = [self.names[i] for i in keep]
+        self.known = {p: k for k, p in enumerate(self.names)}
+        self.alternatives = {k: self.alternatives[i] for k, i in enumerate(keep) if i in self.alternatives}
+        self.score, self.loss, count = self.score[at], self.loss[at], self.count[at]
+        begin = np.cumsum(count) - count
+        self.flat = self.flat[np.arange(count.sum()) + np.repeat(self.begin[at] - begin, count)]
+        self.begin, self.count = begin, count
+
+    def learn(self, new: set[str | None], wanted: list[str | None]) -> bool:
+        """Take in the ``new`` parts; if that is too much to remember, all but ``wanted`` are forgotten. Whether numbers changed."""
+        again = len(self.known) + len(new) > REMEMBERED
+        if again:
+            self.forget(set(wanted))
         by_length: dict[int, list[str]] = {}
         alone: list[str] = []
         for p in new:
@@ -199,8 +212,8 @@ class Encoder:
                 alone.append(p)
         ids, counts, scores, losses, names = [], [], [], [], []
         for length, group in by_length.items():
-            for at in range(0, len(group), 5_000):
-                few = group[at : at + 5_000]
+            for at in range(0, len(group), 2_000):
+                few = group[at : at + 2_000]
                 got = self._together(few, length)
                 ids.append(got[0])
                 counts.append(got[1])
@@ -222,6 +235,7 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, counts])
         self.score, self.loss = np.concatenate([self.score, *scores]), np.concatenate([self.loss, *losses])
+        return again
 
     def _single(self, part: str) -> tuple[float, float, list[int]]:
         """One part of any length: best score, loss of the second best, best pieces."""
@@ -244,50 +258,52 @@ class Encoder:
         """Parts of one length: pieces end to end, their counts, best scores and losses."""
         p = self.pieces
         rows = len(parts)
-        letters = p.letter[np.array(parts, dtype=f"<U{size}").view(np.uint32).reshape(rows, size)]
+        # places run down and parts across, so that each step of a pass works on adjacent numbers
+        letters = p.letter[np.array(parts, dtype=f"<U{size}").view(np.uint32).reshape(rows, size).T]
         longest = min(p.longest, size)
-        found = np.full((longest, rows, size), _NONE, dtype=np.int32)
-        node = np.zeros((rows, size), dtype=np.int64)
-        row, at = (x.ravel() for x in np.indices((rows, size)))
+        found = np.full((longest, size, rows), _NONE, dtype=np.int32)
+        at, row = (x.ravel() for x in np.indices((size, rows), dtype=np.int32))
+        node = np.zeros(len(at), dtype=np.int64)
         for n in range(longest):
-            keep = at + n < size
-            row, at = row[keep], at[keep]
-            letter = letters[row, at + n]
-            child = np.where(letter > 0, p._children(node[row, at] * p.width + letter), 0)
+            keep = at < size - n
+            at, row, node = at[keep], row[keep], node[keep]
+            letter = letters[at + n, row]
+            child = np.where(letter > 0, p._children(node * p.width + letter), 0)
             live = child > 0
-            row, at, child = row[live], at[live], child[live]
-            node[row, at] = child
-            found[n, row, at] = p.node_id[child]
+            at, row, node = at[live], row[live], child[live]
+            found[n, at, row] = p.node_id[node]
         found[0][found[0] == _NONE] = _BYTES
         value = p.score[found]
-        best = np.full((rows, size + 1), -np.inf)
-        back = np.zeros((rows, size + 1), dtype=np.int64)
-        best[:, 0] = 0
+        best = np.full((size + 1, rows), -np.inf)
+        back = np.zeros((size + 1, rows), dtype=np.int64)
+        best[0] = 0
         for end in range(1, size + 1):
             for n in range(1, min(longest, end) + 1):
-                here = best[:, end - n] + value[n - 1, :, end - n]
-                better = here > best[:, end]
-                best[better, end] = here[better]
-                back[better, end] = n
-        after = np.full((rows, size + 1), -np.inf)
-        after[:, size] = 0
+                here = best[end - n] + value[n - 1, end - n]
+                better = here > best[end]
+                np.copyto(best[end], here, where=better)
+                np.copyto(back[end], n, where=better)
+        after = np.full((size + 1, rows), -np.inf)
+        after[size] = 0
         for start in range(size - 1, -1, -1):
             for n in range(1, min(longest, size - start) + 1):
-                np.maximum(after[:, start], value[n - 1, :, start] + after[:, start + n], out=after[:, start])
-        path = np.full((rows, size), _NONE, dtype=np.int32)
+                np.maximum(after[start], value[n - 1, start] + after[start + n], out=after[start])
+        path = np.full((size, rows), _NONE, dtype=np.int32)
         place, step = np.full(rows, size), 0
         live = np.arange(rows)
         through = value
         for n in range(1, longest + 1):
-            through[n - 1, :, : size - n + 1] += best[:, : size - n + 1] + after[:, n:]
+            through[n - 1, : size - n + 1] += best[: size - n + 1]
+            through[n - 1, : size - n + 1] += after[n:]
         while len(live):
-            n = back[live, place[live]]
+            n = back[place[live], live]
             start = place[live] - n
-            path[live, size - 1 - step] = found[n - 1, live, start]
-            through[n - 1, live, start] = -np.inf
+            path[size - 1 - step, live] = found[n - 1, start, live]
+            through[n - 1, start, live] = -np.inf
             place[live] = start
             live, step = live[start > 0], step + 1
-        other = through.max(axis=(0, 2))
+        path = np.ascontiguousarray(path.T)
+        other = through.max(axis=(0, 1))
         odd = np.flatnonzero((path == _BYTES).any(axis=1))
         counts = (path != _NONE).sum(axis=1)
         flat = path[path != _NONE]
@@ -297,21 +313,44 @@ class Encoder:
                 pieces[i] = np.array(p.coded(pieces[i].tolist(), parts[i]), np.int32)
                 counts[i] = len(pieces[i])
             flat = np.concatenate(pieces)
-        return flat, counts, best[:, size], best[:, size] - other
-
-    def encode(self, parts: list[str | None]) -> tuple[np.ndarray, float, list[dict]]:
-        """Best pieces, their score, and the next best segmentations as edits of the best."""
-        which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        return flat, counts, best[size], best[size] - other
+
+    def look_up(self, parts: list[str | None]) -> np.ndarray:
+        """The number of each part; unknown ones are learned first."""
+        which = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = {parts[i] for i in np.flatnonzero(which < 0).tolist()}
+        if new and self.learn(new, parts):
+            return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        for i in np.flatnonzero(which < 0).tolist():
+            which[i] = self.known[parts[i]]
+        return which
+
+    def encode(self, texts: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray, list[float], list[list[dict]]]:
+        """Parts of many texts to the best pieces, end to end, their number and score in each text, and the next best segmentations."""
+        which = self.look_up([p for parts in texts for p in parts])
+        sizes = np.array([len(parts) for parts in texts], dtype=np.int64)
+        ends = np.cumsum(sizes)
         counts = self.count[which]
         offsets = np.cumsum(counts) - counts
         ids = self.flat[np.arange(counts.sum()) + np.repeat(self.begin[which] - offsets, counts)]
-        score = float(self.score[which].sum())
-        if self.n < 2 or not len(which):
-            return ids, score, []
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        lengths = np.bincount(owner, counts, len(texts)).astype(np.int64)
+        scores = np.bincount(owner, self.score[which], len(texts)).tolist()
+        others: list[list[dict]] = []
         loss = self.loss[which]
+        for i, (start, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+            if self.n < 2 or start == end:
+                others.append([])
+            else:
+                first = offsets[start]
+                others.append(self._others(which[start:end], loss[start:end], offsets[start:end] - first, counts[start:end], scores[i]))
+        return ids, lengths, scores, others
+
+    def _others(self, which: np.ndarray, loss: np.ndarray, offsets: np.ndarray, counts: np.ndarray, score: float) -> list[dict]:
+        """The next best segmentations of one text as edits of its best."""
         few = min(self.n - 1, len(loss))
         near = np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1])
-        near = near[np.lexsort((near, loss[near]))[:few]]
+        near = near[np.argsort(loss[near], kind="stable")[:few]]
         ways: list[tuple[float, tuple]] = [(0.0, ())]
         for k in near.tolist():
             if np.isinf(loss[k]):
@@ -327,7 +366,7 @@ class Encoder:
                 put = self.alternatives[int(which[k])][j][1]
                 changes.append({"at": int(offsets[k]), "drop": int(counts[k]), "put": put})
             out.append({"score": score - lost, "edits": changes})
-        return ids, score, out
+        return out
 
     def _ways(self, which: int) -> list[float]:
         """What each of the best segmentations of a part loses against the first."""
@@ -383,18 +422,11 @@ def _encode(shared, n: int):
 
 
 def _encoded(encoder: Encoder, rows: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
-    parts = [encoder.pieces.parts(t or "") for t in texts]
-    encoder.learn(set().union(*parts))
-    found = [encoder.encode(p) for p in parts]
-    lengths = np.array([0, *(len(f[0]) for f in found)])
-    missing = np.array([t is None for t in texts])
-    ids = pa.ListArray.from_arrays(
-        pa.array(np.cumsum(lengths), pa.int32()),
-        pa.array(np.concatenate([np.empty(0, np.int32), *(f[0] for f in found)]), pa.int32()),
-        mask=pa.array(missing),
-    )
-    scores = pa.array([None if t is None else f[1] for t, f in zip(texts, found)], pa.float64())
-    others = pa.array([f[2] for f in found], _ALTERNATIVES)
+    ids, lengths, scores, others = encoder.encode([encoder.pieces.parts(t or "") for t in texts])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    ids = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
+    scores = pa.array([None if t is None else s for t, s in zip(texts, scores)], pa.float64())
+    others = pa.array(others, _ALTERNATIVES)
     keep = [c for c in rows.schema.names if c not in ("ids", "score", "alternatives")]
     return pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), ids, scores, others], [*keep, "ids", "score", "alternatives"])
 
@@ -420,7 +452,7 @@ def encode(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(shared, n), f"doc_id long, text string, ids array<int>, score double, alternatives {_EDIT}")
+    return whole_texts(rows).mapInArrow(_encode(shared, n), f"doc_id long, text string, ids array<int>, score double, alternatives {_EDIT}")
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -429,7 +461,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     shared = rows.sparkSession.sparkContext.broadcast(Pieces.load(model))
     fields = [f for f in rows.schema.fields if f.name != "decoded"]
-    return rows.mapInArrow(_decode(shared), StructType([*fields, StructField("decoded", StringType())]))
+    return whole_texts(rows).mapInArrow(_decode(shared), StructType([*fields, StructField("decoded", StringType())]))
 
 
 def _round_trip(shared, n: int):
@@ -448,4 +480,4 @@ def round_trip(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id long, ids array<int>, score double, alternatives {_EDIT}, decoded string, exact boolean"
     count = F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_pieces")
-    return rows.mapInArrow(_round_trip(shared, n), schema).select("doc_id", "decoded", count, "ids", "score", "alternatives", "exact")
+    return whole_texts(rows).mapInArrow(_round_trip(shared, n), schema).select("doc_id", "decoded", count, "ids", "score", "alternatives", "exact")

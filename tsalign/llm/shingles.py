@@ -13,7 +13,7 @@ U64 = np.uint64
 SHINGLE = 5
 
 #: Bytes hashed at once. A longer text is cut between words, so memory does not grow with it.
-SEGMENT = 4_000_000
+SEGMENT = 1_000_000
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.llm.common import whole_texts
+
 #: A path is content if its fused ratio is at least this many standard deviations of the page's nodes.
 SPREAD = 0.5
 #: Weights of a node and its neighbours on either side.
@@ -258,4 +260,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: ``page_id, url, text, n_chars``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return whole_texts(rows).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsalign.llm.common import measured
+from tsalign.llm.common import measured, whole_texts
 from tsalign.operators.durable import durable, work_folder
 
 #: Payloads below this many bytes are never revisits.
@@ -142,7 +142,7 @@ def write_archives(
     rows = records.select(
         F.col("name").cast("string"), F.col("url").cast("string"), F.col("payload").cast("binary"), "digest", F.col("refers_to").cast("string")
     )
-    return durable(rows.mapInArrow(_write(folder, archive_bytes, archive_records), "path string, records long"), "archives")
+    return durable(whole_texts(rows).mapInArrow(_write(folder, archive_bytes, archive_records), "path string, records long"), "archives")
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
@@ -303,7 +303,7 @@ def read_records(ranges: DataFrame) -> DataFrame:
     """The records at ``ranges`` (``path, start, length``): id, type, URL, referred id, declared digest and payload."""
     spread = ranges.repartitionByRange("path", "start").sortWithinPartitions("path", "start")
     schema = "record_id string, record_type string, url string, refers_to string, declared string, payload binary"
-    return spread.mapInArrow(_read, schema)
+    return whole_texts(spread).mapInArrow(_read, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
