@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tsalign.operators.durable import durable, work_folder
+from tsalign.operators.durable import durable, scratch_folder
 from tsalign.plans.align import Sources, align, folder_sources, published
 from tsalign.plans.charts import chart_windows
 from tsalign.plans.verify import verify_dataset
@@ -143,8 +143,8 @@ def test_features_and_inventory(spark, tmp_path):
 
 def test_durable_uses_the_session_folder(spark):
     df = durable(spark.range(3), "check")
-    folder = work_folder(spark).removeprefix("file:")
-    assert df.count() == 3 and all(f"{folder}/tsalign/check-" in f for f in df.inputFiles())
+    folder = scratch_folder(spark).removeprefix("file:")
+    assert df.count() == 3 and all(f"{folder}/check-" in f for f in df.inputFiles())
 
 
 # --- pipelines --------------------------------------------------------------
@@ -227,8 +227,13 @@ def test_verify_report(spark, tmp_path):
     claims = spark.createDataFrame([("rows", "BTC/train", 200.0, 0.0), ("text", "no_event_pct", 15.1, 1.0)], "check string, subject string, claimed double, tolerance double")
     report = verify_dataset(df.where("split <> 'gap'"), ["volume"], claims, ("BTC", "ETH"), rows=64)
     got = {(r.check, r.subject): r for r in report.collect()}
-    assert got["rows", "BTC/train"].ok and not got["text", "no_event_pct"].ok
-    assert got["bounds", "target_score"].ok and got["nulls", "train/TOTAL"].ok
+    assert got["rows", "BTC/train"].ok and got["text", "no_event_pct"].ok is False and got["text", "no_event_pct"].actual is None
+    assert got["bounds", "BTC/train/target_score"].ok and got["nulls", "ETH/train/TOTAL"].ok and got["nulls", "ETH/train/volume"].actual == 0
+    volumes = df.where("asset = 'ETH' AND split = 'validation'").toPandas()["volume"]
+    assert got["feature", "ETH/validation/volume/mean"].actual == pytest.approx(volumes.mean())
+    assert got["quartile", "ETH/validation/volume/q3"].actual == pytest.approx(volumes.quantile(0.75))
+    assert got["text", "BTC/test_in_domain/max_chars"].actual == 4
+    assert 0 <= got["ttest", "volume/p_value"].actual <= 1 and got["ttest", "volume/stars"].actual in (0, 1, 2, 3)
     assert got["embargo", "BTC/1"].ok and not got["embargo", "BTC/2"].ok
     assert got["gaps", "BTC"].actual == 3 and not got["gaps", "BTC"].ok
 

@@ -14,7 +14,7 @@ from tsalign.functions.classes import significance_stars
 from tsalign.functions.scalar import is_outlier_iqr, is_outlier_z
 from tsalign.operators.chunk import join_keys
 from tsalign.operators.durable import durable
-from tsalign.operators.quantile import QUARTILES, counts_with_fences, melt, quantiles
+from tsalign.operators.quantile import QUARTILES, melt, quantiles, with_fences
 
 
 def _agg(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
@@ -165,7 +165,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50, by: Sequence[s
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles and whiskers (most extreme values within 1.5 IQR of the box); NULLs for a feature without values."""
-    fenced = counts_with_fences(df, by, cols)
+    fenced = with_fences(df, by, cols)
     value = F.col("value")
     boxes = (
         fenced.groupBy(*by, "feature", "q1", "median", "q3")
@@ -185,7 +185,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 def outlier_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows beyond the 1.5 IQR fences and beyond three sample deviations, with percents of all rows."""
     keys = [*by, "feature"]
-    fenced = counts_with_fences(df, by, cols)
+    fenced = with_fences(df, by, cols)
     stats = durable(
         _per_feature(
             df,
@@ -195,24 +195,15 @@ def outlier_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -
         ),
         "stats",
     )
-    value, weight = F.col("value"), F.col("rows")
+    value = F.col("value")
     beyond = (value < F.col("lower")) | (value > F.col("upper"))
     far = F.abs(F.try_divide(value - F.col("_mean"), F.col("_std"))) > 3
-    counted = (
-        join_keys(stats, fenced, keys, "left")
-        .groupBy(*keys)
-        .agg(
-            F.max("_rows").alias("_rows"),
-            F.sum(F.when(beyond, weight).otherwise(0)).alias("iqr_outliers"),
-            F.sum(F.when(far, weight).otherwise(0)).alias("z_outliers"),
-        )
-    )
-    return counted.select(
+    counted = join_keys(fenced, stats, keys).groupBy(*keys).agg(F.count_if(beyond).alias("_iqr"), F.count_if(far).alias("_z"))
+    every = join_keys(stats, counted, keys, "left")
+    counts = {"iqr": F.coalesce("_iqr", F.lit(0)), "z": F.coalesce("_z", F.lit(0))}
+    return every.select(
         *keys,
-        "iqr_outliers",
-        (F.col("iqr_outliers") * 100.0 / F.col("_rows")).alias("iqr_pct"),
-        "z_outliers",
-        (F.col("z_outliers") * 100.0 / F.col("_rows")).alias("z_pct"),
+        *[c for k, n in counts.items() for c in (n.alias(f"{k}_outliers"), (n * 100.0 / F.col("_rows")).alias(f"{k}_pct"))],
     )
 
 
@@ -296,7 +287,8 @@ def t_p_value(t: float, freedom: float) -> float | None:
 
 
 @F.pandas_udf(T.DoubleType())
-def _p_values(t: pd.Series, freedom: pd.Series) -> pd.Series:
+def p_values(t: pd.Series, freedom: pd.Series) -> pd.Series:
+    """Two-sided p-values; meant for a few rows of test statistics."""
     return pd.Series(
         [t_p_value(a, b) if pd.notna(a) and pd.notna(b) and b > 0 else None for a, b in zip(t, freedom)], dtype="float64"
     )
@@ -333,7 +325,7 @@ def ttest_ind(df: DataFrame, group: str, a, b, cols: Sequence[str]) -> DataFrame
         F.try_divide(F.col("mean_a") - F.col("mean_b"), error).alias("t_stat"),
         freedom.alias("freedom"),
     )
-    tested = tested.withColumn("p_value", _p_values("t_stat", "freedom"))
+    tested = tested.withColumn("p_value", p_values("t_stat", "freedom"))
     return tested.withColumn("stars", significance_stars(F.col("p_value")))
 
 

@@ -1,8 +1,10 @@
-"""Exact quantiles that scale: distinct values are counted, range-sorted and ranked.
+"""Exact quantiles that scale: a sketch brackets each wanted rank, and only the values inside a bracket are sorted.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. Here a
-group's values spread over range partitions, and each partition only needs the
-number of rows before it.
+Spark's ``percentile`` keeps every distinct value of a group in one task, and
+sorting all values moves the whole table. Here one aggregate sketches every
+group, one counts the values below each bracket, and the few values inside
+(about one in a thousand of a large group) are counted, range-sorted and ranked
+by the number of rows before their partition.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from tsalign.operators.chunk import arrange, earlier, join_keys
 from tsalign.operators.durable import durable
 
+SKETCH = 10_000
+"""Accuracy of the sketch: a rank is off by at most one in this many rows. Smaller groups are sorted whole."""
+
 
 def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Rows ``(by, feature, value)`` for the non-NULL values of ``cols``."""
@@ -22,63 +27,66 @@ def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
-def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Distinct values per ``(by, feature)`` with their ``rows``, range-sorted and written."""
-    keys = [*by, "feature"]
-    counted = melt(df, by, cols).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("rows"))
-    return arrange(counted, keys, ["value"])
-
-
-def quantiles_of(counted: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """``{name: p}`` per ``(by, feature)``, linear interpolation between neighbours.
-
-    The number of rows before each partition tells which partitions hold a
-    wanted rank; only those are read again and ranked.
-    """
+def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """``{name: p}`` per ``(by, feature)``, linear interpolation between neighbours."""
     keys = [*by, "feature"]
-    rank = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
-    parts = counted.groupBy(*keys, "_part").agg(F.sum("rows").alias("_n"))
-    parts = parts.select(
-        *keys,
-        "_part",
-        "_n",
-        F.coalesce(F.sum("_n").over(earlier(keys, "_part")), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+    values = melt(df, by, cols)
+    # four sketch errors on either side leave three for the ranks next to the wanted one
+    reach = 4.0 / SKETCH
+    edges = [e for p in probs.values() for e in (max(0.0, p - reach), min(1.0, p + reach))]
+    sketch = values.groupBy(*keys).agg(
+        F.count("value").alias("_total"),
+        F.min("value").alias("_min"),
+        F.max("value").alias("_max"),
+        F.percentile_approx("value", F.array(*map(F.lit, edges)), F.lit(SKETCH)).alias("_edge"),
     )
-    covers = lambda k, lo, hi: (lo <= k) & (k < hi)
-    needed = F.lit(False)
-    for at in rank.values():
-        end = F.col("_before") + F.col("_n")
-        needed = needed | covers(F.floor(at), F.col("_before"), end) | covers(F.ceil(at), F.col("_before"), end)
-    parts = durable(parts.where(needed).drop("_n"), "parts")
-
+    small = F.col("_total") <= SKETCH
+    wanted = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
+    brackets = [
+        F.struct(
+            F.lit(i).alias("which"),
+            wanted(p).alias("rank"),
+            F.when(small, F.col("_min")).otherwise(F.col("_edge")[2 * i]).alias("low"),
+            F.when(small, F.col("_max")).otherwise(F.col("_edge")[2 * i + 1]).alias("high"),
+        )
+        for i, p in enumerate(probs.values())
+    ]
+    brackets = durable(sketch.select(*keys, F.array(*brackets).alias("_brackets")), "brackets")
+
+    near = join_keys(values, brackets, keys).drop("_joint")
+    value = F.col("value")
+    below = near.groupBy(*keys).agg(
+        *[F.count_if(value < F.col("_brackets")[i]["low"]).alias(f"_below_{i}") for i in range(len(probs))]
+    )
+    below = below.select(*keys, F.array(*[F.col(f"_below_{i}") for i in range(len(probs))]).alias("_below"))
+    inside = F.filter("_brackets", lambda b: (value >= b["low"]) & (value <= b["high"]))
+    inside = near.select(*keys, "value", F.explode(inside).alias("_b")).select(*keys, "value", "_b.which", "_b.rank")
+    counted = inside.groupBy(*keys, "which", "rank", "value").agg(F.count(F.lit(1)).alias("rows"))
+    counted = arrange(counted, [*keys, "which"], ["value"])
+
+    slots = [*keys, "which"]
+    parts = counted.groupBy(*slots, "_part").agg(F.sum("rows").alias("_n"))
+    parts = parts.select(*slots, "_part", F.coalesce(F.sum("_n").over(earlier(slots, "_part")), F.lit(0)).alias("_before"))
+    parts = join_keys(parts, below, keys).select(*slots, "_part", (F.col("_before") + F.col("_below")[F.col("which")]).alias("_before"))
+    parts = durable(parts, "parts")
+
+    ranked = join_keys(counted, parts, [*slots, "_part"])
     so_far = Window.partitionBy("_joint").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = join_keys(counted, parts, [*keys, "_part"])
     ranked = ranked.withColumn("_hi", F.sum("rows").over(so_far) + F.col("_before"))
-    lo, hi = F.col("_hi") - F.col("rows"), F.col("_hi")
-    aggs = []
-    for name, at in rank.items():
-        aggs += [
-            F.max(F.when(covers(F.floor(at), lo, hi), F.col("value"))).alias(f"_b_{name}"),
-            F.max(F.when(covers(F.ceil(at), lo, hi), F.col("value"))).alias(f"_a_{name}"),
-            F.max(at - F.floor(at)).alias(f"_f_{name}"),
-        ]
-    picked = ranked.groupBy(*keys).agg(*aggs)
-    blend = lambda m: F.col(f"_b_{m}") + (F.col(f"_a_{m}") - F.col(f"_b_{m}")) * F.col(f"_f_{m}")
-    return picked.select(*keys, *[blend(m).alias(m) for m in probs])
-
-
-def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    return quantiles_of(value_counts(df, by, cols), by, probs)
+    at = lambda k: F.max(F.when((F.col("_hi") - F.col("rows") <= k) & (k < F.col("_hi")), value))
+    rank = F.col("rank")
+    picked = ranked.groupBy(*slots).agg(at(F.floor(rank)).alias("_b"), at(F.ceil(rank)).alias("_a"), F.max(rank - F.floor(rank)).alias("_f"))
+    found = F.col("_b") + (F.col("_a") - F.col("_b")) * F.col("_f")
+    found = F.coalesce(found, F.raise_error(F.lit("a wanted rank fell outside its bracket")).cast("double"))
+    picked = picked.select(*keys, "which", found.alias("_q"))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("_q"))).alias(m) for i, m in enumerate(probs)])
 
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def counts_with_fences(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Distinct values and their rows, with their group's quartiles and 1.5 IQR fences."""
-    counted = value_counts(df, by, cols)
-    quartiles = durable(quantiles_of(counted, by, QUARTILES), "quartiles")
+def with_fences(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The melted values with their group's quartiles and 1.5 IQR fences."""
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fenced = quartiles.withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
-    return join_keys(counted.drop("_place", "_part"), fenced, [*by, "feature"]).drop("_joint")
+    fences = quantiles(df, by, cols, QUARTILES).withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
+    return join_keys(melt(df, by, cols), durable(fences, "fences"), [*by, "feature"]).drop("_joint")
