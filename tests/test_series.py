@@ -271,7 +271,7 @@ def test_batches(spark):
 
 @pytest.mark.parametrize("n,m", [(1_000, 100), (250, 100), (100, 100), (7, 100), (1, 100), (999, 7), (5, 1)])
 def test_sample_positions(spark, n, m):
-    got = sorted(r.sample_pos for r in sample_positions(spark.range(n), "id", m, rows=64).collect())
+    got = sorted(r.sample_pos for r in sample_positions(spark.range(n), "id", m).collect())
     size = min(n, m)
     assert got == sorted(set(np.linspace(0, n - 1, size, dtype=int).tolist()))
 
@@ -314,5 +314,5 @@ def test_gaps_and_nulls(spark):
 
 def test_keep_last_n(spark):
     df = spark.createDataFrame([("r", e) for e in (10, 20, 30, 40)], "run string, epoch long")
-    kept = keep_last_n(df, ["run"], "epoch", 3, rows=2).where("keep").toPandas()["epoch"]
+    kept = keep_last_n(df, ["run"], "epoch", 3).where("keep").toPandas()["epoch"]
     assert sorted(kept) == [20, 30, 40]

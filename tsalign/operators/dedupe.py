@@ -58,9 +58,15 @@ def removed_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dedupe_by_text_hash(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
-    """Keep the first of texts that are equal up to case."""
+    """Keep the first of texts that are equal up to case; ``order`` ends in a unique column.
+
+    Hashes and order columns alone pick the winners; the other columns meet them
+    in a semi-join and are pruned where nobody asks for them.
+    """
     hashed = df.withColumn("text_hash", text_hash(F.col(text)))
-    return dedupe_keep_first(hashed, ["text_hash"], order)
+    place = F.struct(*order)
+    winners = hashed.groupBy("text_hash").agg(F.min(place).alias("_place")).select(F.struct("text_hash", "_place").alias("_won"))
+    return hashed.withColumn("_won", F.struct("text_hash", place.alias("_place"))).join(winners, "_won", "left_semi").drop("_won")
 
 
 def concat_assets(parts: dict[str, DataFrame]) -> DataFrame:

@@ -66,8 +66,16 @@ def image_key(asset: str | Column, ts: str | Column, folder: str) -> Column:
     return F.concat(F.lit(folder), F.lit("/"), F.lower(asset), F.lit("/"), second, F.lit(".png"))
 
 
-def drop_empty_text(df: DataFrame, col: str) -> DataFrame:
-    return df.where(F.length(F.trim(F.col(col))) > 0)
+def drop_empty_text(df: DataFrame, col: str, text: Column | None = None) -> DataFrame:
+    """Rows whose text is not blank; with ``text`` that expression becomes ``col`` first.
+
+    A filter on a computed text would compute it a second time, so the text and
+    its test share one generator.
+    """
+    filled = lambda t: F.length(F.trim(t)) > 0
+    if text is None:
+        return df.where(filled(F.col(col)))
+    return df.select(*[c for c in df.columns if c != col], F.explode(F.filter(F.array(text), filled)).alias(col))
 
 
 def select_feature_vector(df: DataFrame, cols: Sequence[str], name: str = "tabular") -> DataFrame:

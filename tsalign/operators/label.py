@@ -71,11 +71,12 @@ def pct_change(
     name: str = "pct_change",
     pad: bool = True,
     rows: int = CHUNK_ROWS,
+    periods: int = 1,
 ) -> DataFrame:
-    """``x / previous - 1``. With ``pad`` a NULL repeats the last value, so its own change is 0."""
+    """``x / previous - 1`` over ``periods`` rows (momentum). With ``pad`` a NULL repeats the last value, so its own change is 0."""
     df, src = _padded(df, by, pos, col, pad, rows)
-    spread, w = framed(df, by, pos, back=1, rows=rows)
-    out = spread.withColumn(name, F.try_divide(F.col(src), F.lag(src).over(w)) - 1)
+    spread, w = framed(df, by, pos, back=periods, rows=rows)
+    out = spread.withColumn(name, F.try_divide(F.col(src), F.lag(src, periods).over(w)) - 1)
     return home_rows(out, pos, rows).drop("_padded")
 
 

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsalign.operators.chunk import CHUNK_ROWS, grid_index
+from tsalign.operators.chunk import row_index
 
 
-def sample_positions(df: DataFrame, pos: str, m: int = 100, rows: int = CHUNK_ROWS) -> DataFrame:
+def sample_positions(df: DataFrame, pos: str, m: int = 100) -> DataFrame:
     """``m`` rows evenly spread from first to last: positions ``int(k * (n-1)/(m-1))``.
 
-    ``pos`` is a unique integer that gives the order. Whether a row is picked
+    ``pos`` is unique and gives the order. Whether a row is picked
     follows from its own position, so there is nothing to join.
     """
-    indexed = grid_index(df, [], pos, "sample_pos", total="_n", rows=rows)
+    indexed = row_index(df, [], [pos], "sample_pos", total="_n")
     at, n = F.col("sample_pos"), F.col("_n")
     picks = F.least(n, F.lit(m))
     step = F.try_divide((n - 1).cast("double"), picks - 1)

@@ -81,15 +81,14 @@ def batches(
     size: int,
     drop_last: bool = False,
     seed: int | None = None,
-    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``batch_idx``; in ``pos`` order, or in a repeatable shuffled order with a ``seed``.
 
-    ``pos`` is a unique integer. The shuffled order sorts by a seeded hash, so
+    ``pos`` is unique; ids may be as sparse as they like. The shuffled order sorts by a seeded hash, so
     it is the same on every run and needs no random state.
     """
     if seed is None:
-        indexed = grid_index(df, [], pos, "_at", total="_total", rows=rows)
+        indexed = row_index(df, [], [pos], "_at", total="_total")
     else:
         keyed = df.withColumn("_key", seeded_order(F.col(pos), seed))
         indexed = row_index(keyed, [], ["_key", pos], "_at", total="_total").drop("_key")

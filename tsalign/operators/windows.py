@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsalign.operators.chunk import CHUNK_ROWS, framed, grid_index, home_rows, running_min_before
+from tsalign.operators.chunk import CHUNK_ROWS, framed, home_rows, join_keys, running_min_before
 from tsalign.operators.durable import durable
 
 
@@ -138,9 +138,13 @@ def running_best(
     return out.withColumn("improved", F.coalesce(F.col(loss) < F.col("best_before"), F.col(loss).isNotNull()))
 
 
-def keep_last_n(
-    df: DataFrame, by: Sequence[str], pos: str, n: int = 3, rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """``keep`` is true for the newest ``n`` entries of each run. ``pos`` is an integer unique per run."""
-    indexed = grid_index(df, by, pos, "_at", total="_total", rows=rows)
-    return indexed.withColumn("keep", F.col("_at") >= F.col("_total") - n).drop("_at", "_total")
+def keep_last_n(df: DataFrame, by: Sequence[str], pos: str, n: int = 3) -> DataFrame:
+    """``keep`` is true for the newest ``n`` entries of each run. ``pos`` is unique per run.
+
+    Each task hands on at most ``n`` entries of a run, however many it has, so
+    neither dense positions nor small runs are asked for.
+    """
+    newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(pos)))
+    last = df.select(*by, pos).withColumn("_rank", newest).where(F.col("_rank") <= n).groupBy(*by).agg(F.min(pos).alias("_last"))
+    joined = join_keys(df, last, by, "left")
+    return joined.withColumn("keep", F.coalesce(F.col(pos) >= F.col("_last"), F.lit(False))).drop("_last", "_joint")
