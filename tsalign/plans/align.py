@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsalign.functions.time import hour_number
 from tsalign.operators.asof import asof_backward
-from tsalign.operators.chunk import CHUNK_ROWS, grid_index
+from tsalign.operators.chunk import CHUNK_ROWS, grid_index, row_index
 from tsalign.operators.durable import durable
 from tsalign.operators.filters import (
     FINAL_COLUMNS,
@@ -94,9 +93,10 @@ def align(
     by = ["asset"]
     use_utc(s.klines.sparkSession)
     edge = lambda t: F.lit(t).cast("timestamp")
-    joined = filter_time_range(joined_sources(s), edge(start), edge(end)).withColumn("_hour", hour_number("timestamp"))
-    # An index reads its input twice, so each is built over written files.
-    indexed = grid_index(durable(joined, "joined"), by, "_hour", "_at", rows=rows)
+    joined = filter_time_range(joined_sources(s), edge(start), edge(end))
+    # A repeated macro stamp repeats the hour; its own columns then settle the order.
+    macro = [] if s.macro is None else [c for c in s.macro.columns if c != "timestamp"]
+    indexed = row_index(joined, by, ["timestamp", *macro], "_at")
     labelled = target_score(indexed, by, "_at", "close", horizon, window, mode, rows=rows)
     labelled = labelled.withColumns(
         {"unix_ts": F.unix_seconds("timestamp"), "image_path": image_key("asset", "timestamp", image_folder)}

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsalign.functions.text import asset_list, clean_text, combine_post_text
-from tsalign.operators.durable import work_folder
+from tsalign.operators.durable import scratch_folder
+from tsalign.operators.dedupe import concat_assets
 from tsalign.operators.split import chronological_split
 from tsalign.plans.registry import query
 from tsalign.plans.series_queries import _SPLIT
 from tsalign.plans.tables import BARS, DAILY, STAMP, bars, daily, load, stamp
-from tsalign.plans.text_queries import PATTERNS, clean_sql
+from tsalign.plans.text_queries import KINDS, PATTERNS, clean_sql
 from tsalign.sources import files, sinks
 
 
 def _place(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/tsalign/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _landed(df: DataFrame, label: str) -> str:
@@ -63,28 +64,29 @@ def read_klines_raw(spark, folder):
 
 @query(
     "read_monthly",
-    f"""WITH {DAILY} SELECT strftime(day, '%Y-%m-%d') AS day, close FROM daily
-WHERE asset = '1-URGENT' AND day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""",
+    f"""WITH {DAILY} SELECT asset, strftime(day, '%Y-%m-%d') AS day, close FROM daily
+WHERE day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""",
 )
 def read_monthly(spark, folder):
-    """Urgent orders as a daily series landed in monthly folders, every bar twice."""
-    series = daily(spark, folder).where(F.col("asset") == "1-URGENT")
+    """Orders as a daily series for each priority, landed in monthly folders, every bar twice."""
+    series = daily(spark, folder).withColumn("series", F.substring("asset", 1, 1))
     zero = {c: F.lit(0) for c in files.RAW_KLINE_COLUMNS[6:]}
     raw = series.withColumn("timestamp", F.unix_millis(F.col("day").cast("timestamp"))).withColumns(zero)
-    raw = raw.select(*files.RAW_KLINE_COLUMNS, F.date_format("day", "yyyy-MM").alias("month"))
+    raw = raw.select(*files.RAW_KLINE_COLUMNS, "series", F.date_format("day", "yyyy-MM").alias("month"))
     path = _place(spark, "monthly")
-    raw.unionByName(raw).write.partitionBy("month").csv(path)
-    out = files.read_monthly(spark, path, "month=", "1996-01-01", "1999-12-01")
-    return out.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "close")
+    raw.unionByName(raw).write.partitionBy("series", "month").csv(path)
+    # The priorities of the orders.
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    parts = {n: files.read_monthly(spark, f"{path}/series={n[0]}", "month=", "1996-01-01", "1999-12-01") for n in names}
+    return concat_assets(parts).select("asset", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "close")
 
 
 @query(
     "read_funding",
-    """SELECT epoch_us(ts) // 1000 AS ms, value AS funding_rate FROM events WHERE event_type = 'view'""",
+    """SELECT epoch_us(ts) // 1000 AS ms, value AS funding_rate FROM events""",
 )
 def read_funding(spark, folder):
-    views = load(spark, folder, "events").where(F.col("event_type") == "view")
-    raw = views.select(
+    raw = load(spark, folder, "events").select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("calc_time"),
         F.lit(8).alias("funding_interval_hours"),
         F.col("value").alias("last_funding_rate"),
@@ -210,6 +212,28 @@ def read_perp_metrics(spark, folder):
     return out.withColumn("timestamp", stamp("timestamp"))
 
 
+@query(
+    "read_perp_liquidations",
+    f"WITH {BARS} SELECT {STAMP} AS timestamp, asset, high AS long_liquidations, low AS short_liquidations FROM bars",
+)
+def read_perp_liquidations(spark, folder):
+    raw = bars(spark, folder).select("timestamp", "asset", F.col("high").alias("long_liquidations"), F.col("low").alias("short_liquidations"))
+    out = files.read_perp_metrics(spark, _landed(raw, "liquidations"), "liquidations")
+    return out.withColumn("timestamp", stamp("timestamp"))
+
+
+@query(
+    "read_perp_ratio",
+    f"WITH {BARS} SELECT {STAMP} AS timestamp, asset, open AS ratio, high AS long_percentage, low AS short_percentage FROM bars",
+)
+def read_perp_ratio(spark, folder):
+    raw = bars(spark, folder).select(
+        "timestamp", "asset", F.col("open").alias("ratio"), F.col("high").alias("long_percentage"), F.col("low").alias("short_percentage")
+    )
+    out = files.read_perp_metrics(spark, _landed(raw, "ratio"), "long_short_ratio")
+    return out.withColumn("timestamp", stamp("timestamp"))
+
+
 @query(
     "source_default",
     f"""WITH {BARS} SELECT asset, {STAMP} AS timestamp, CAST(NULL AS DOUBLE) AS funding_rate, CAST(NULL AS INTEGER) AS fear_greed_value,
@@ -225,13 +249,13 @@ def source_default(spark, folder):
 
 @query(
     "read_split",
-    f"""WITH {BARS}, {_SPLIT} SELECT asset, CASE asset WHEN 'view' THEN 0 ELSE 1 END AS ordinal, {STAMP} AS timestamp, close
-FROM parts WHERE split = 'train' AND asset IN ('view', 'click')""",
+    f"""WITH {BARS}, {_SPLIT} SELECT asset, list_position({KINDS}, asset)::INTEGER - 1 AS ordinal, {STAMP} AS timestamp, close
+FROM parts WHERE split = 'train'""",
 )
 def read_split(spark, folder):
     path = _place(spark, "splits")
     sinks.write_splits(chronological_split(bars(spark, folder), ["asset"], "hour_no"), path)
-    out = files.read_split(spark, path, "train", ["view", "click"])
+    out = files.read_split(spark, path, "train", KINDS)
     return out.select("asset", "ordinal", stamp("timestamp").alias("timestamp"), "close")
 
 

@@ -113,12 +113,11 @@ def asof_clipped(spark, folder):
 @query(
     "clip_to_range",
     f"""WITH {BARS}, {RATES},
-span AS (SELECT min(timestamp) AS a, max(timestamp) AS b FROM bars WHERE asset = 'purchase')
+span AS (SELECT min(timestamp) AS a, max(timestamp) AS b FROM bars)
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, rate FROM rates, span WHERE ts BETWEEN a AND b""",
 )
 def clip_to_range(spark, folder):
-    left = bars(spark, folder).where(F.col("asset") == "purchase")
-    out = clip_to_range_of(rates(spark, folder), left, "timestamp")
+    out = clip_to_range_of(rates(spark, folder), bars(spark, folder), "timestamp")
     return out.select(stamp("timestamp").alias("timestamp"), "rate")
 
 
@@ -629,3 +628,13 @@ def ema_holes(spark, folder):
     holed = durable(_holed(spark, folder), "holed")
     out = ema(holed, KEY, "row_idx", [Ema.span("close", "ema", 12, 12)], holes=True)
     return out.select("asset", "row_idx", F.round("ema", 4).alias("ema"))
+
+
+@query(
+    "momentum",
+    f"""WITH {DAILY}
+SELECT asset, row_idx, round(close / nullif(lag(close, 10) OVER (PARTITION BY asset ORDER BY row_idx), 0) - 1, 6) + 0.0 AS momentum FROM daily""",
+)
+def momentum(spark, folder):
+    out = pct_change(indexed_daily(spark, folder), KEY, "row_idx", "close", "momentum", pad=False, periods=10)
+    return out.select("asset", "row_idx", r("momentum").alias("momentum"))

@@ -14,6 +14,7 @@ from tsalign.functions.text import (
     token_count,
 )
 from tsalign.functions.time import floor_hour, from_millis, from_seconds, parse_iso, to_numeric
+from tsalign.operators.durable import durable
 from tsalign.operators.dedupe import (
     concat_assets,
     concat_splits,
@@ -25,7 +26,7 @@ from tsalign.operators.dedupe import (
     removed_rows,
     sort_by_time,
 )
-from tsalign.operators.features import embed_column, encoder_of, format_prompt, project_vectors, tabular_baseline
+from tsalign.operators.features import embed_column, encoder_of, format_prompt, project_vectors, tabular_baseline, xavier_uniform
 from tsalign.operators.filters import (
     PLACEHOLDER,
     drop_any_null,
@@ -167,15 +168,18 @@ def text_length_stats_query(spark, folder):
     )
 
 
+# The kinds of the events.
+KINDS = ["view", "click", "purchase", "signup", "error"]
+
+
 HOURLY = """hourly AS (
   SELECT date_trunc('hour', ts) AS timestamp, coalesce(string_agg(props, ' [SEP] ' ORDER BY event_id), '') AS text_content
-  FROM (SELECT ts, event_id, CASE WHEN event_type <> 'error' THEN props END AS props FROM events
-        WHERE event_type IN ('error', 'purchase')) GROUP BY 1)"""
+  FROM (SELECT ts, event_id, CASE WHEN event_type <> 'error' THEN props END AS props FROM events) GROUP BY 1)"""
 
 
 def _hourly(spark, folder):
-    """Purchase properties as the news of an hour; error events are articles without text."""
-    articles = load(spark, folder, "events").where(F.col("event_type").isin("error", "purchase"))
+    """Event properties as the news of an hour; error events are articles without text."""
+    articles = load(spark, folder, "events")
     articles = articles.withColumn("text", F.when(F.col("event_type") != "error", F.col("props")))
     return hourly_text(articles, "ts", "text", ["event_id"])
 
@@ -332,12 +336,11 @@ def systematic_sample(spark, folder):
 @query(
     "concat_assets",
     f"""WITH {BARS}
-SELECT asset, CASE asset WHEN 'view' THEN 0 ELSE 1 END AS ordinal, {STAMP} AS timestamp, close
-FROM bars WHERE asset IN ('view', 'click')""",
+SELECT asset, list_position({KINDS}, asset)::INTEGER - 1 AS ordinal, {STAMP} AS timestamp, close FROM bars""",
 )
 def concat_assets_query(spark, folder):
-    all_bars = bars(spark, folder)
-    parts = {a: all_bars.where(F.col("asset") == a).drop("asset") for a in ("view", "click")}
+    all_bars = durable(bars(spark, folder), "bars")
+    parts = {a: all_bars.where(F.col("asset") == a).drop("asset") for a in KINDS}
     return concat_assets(parts).select("asset", "ordinal", stamp("timestamp").alias("timestamp"), "close")
 
 
@@ -347,7 +350,7 @@ def concat_assets_query(spark, folder):
 SELECT asset, split, {STAMP} AS timestamp FROM parts WHERE split NOT LIKE 'embargo%'""",
 )
 def concat_splits_query(spark, folder):
-    rows = chronological_split(bars(spark, folder), ["asset"], "hour_no")
+    rows = durable(chronological_split(bars(spark, folder), ["asset"], "hour_no"), "splits")
     parts = [rows.where(F.col("split") == s) for s in ("train", "validation", "test_in_domain")]
     out = concat_splits(parts, "asset", "timestamp")
     return out.select("asset", "split", stamp("timestamp").alias("timestamp"))
@@ -523,8 +526,8 @@ def feature_vector(spark, folder):
     f"SELECT doc_id, length(t) AS chars FROM (SELECT doc_id, {clean_sql('text')} AS t FROM documents) WHERE length(trim(t)) > 0",
 )
 def nonblank_text(spark, folder):
-    cleaned = load(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("t"))
-    return drop_empty_text(cleaned, "t").select("doc_id", F.length("t").cast("long").alias("chars"))
+    documents = load(spark, folder, "documents").select("doc_id", "text")
+    return drop_empty_text(documents, "t", clean_text(F.col("text"))).select("doc_id", F.length("t").cast("long").alias("chars"))
 
 
 _IMAGE = "'charts/' || lower(asset) || '/' || CAST(CAST(epoch(timestamp) AS BIGINT) AS VARCHAR) || '.png'"
@@ -685,13 +688,23 @@ def prompt(spark, folder):
 @query("embed_text")
 def embed_text(spark, folder):
     documents = load(spark, folder, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return embed_column(documents, "text", encoder=encoder_of(256), partitions=cores).drop("text")
+    return embed_column(documents, "text", encoder=encoder_of(256)).drop("text")
+
 
+_MATRIX = [[float(x) for x in row] for row in xavier_uniform(64, 16, 42)]
 
-@query("project_vectors")
+
+@query(
+    "project_vectors",
+    f"""WITH m AS (SELECT {_MATRIX}::DOUBLE[][] AS m), p AS (
+  SELECT vec_id, list_transform(range(1, 17), lambda j: list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * m[i][j]))) AS y FROM embeddings, m)
+SELECT vec_id, len(y) AS n, round(y[1], 2) + 0.0 AS first, round(y[16], 2) + 0.0 AS last, round(list_sum(y), 2) + 0.0 AS total FROM p""",
+)
 def project_vectors_query(spark, folder):
-    return project_vectors(load(spark, folder, "embeddings"), "embedding", "projected", 64, 16).select("vec_id", "projected")
+    out = project_vectors(load(spark, folder, "embeddings"), "embedding", "y", 64, 16)
+    at = lambda i: r(F.element_at("y", i).cast("double"), 2)
+    total = F.aggregate("y", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return out.select("vec_id", F.size("y").cast("long").alias("n"), at(1).alias("first"), at(-1).alias("last"), r(total, 2).alias("total"))
 
 
 def _baseline(spark, folder, cols, kind="linear"):
