@@ -8,7 +8,7 @@ import zlib
 import pytest
 
 from tsalign.llm import webarchive as wa
-from tsalign.operators.durable import work_folder
+from tsalign.operators.durable import scratch_folder
 
 SCHEMA = "page_id bigint, url string, html string, digest string, payload int, first int"
 LONG = "long page é " * 20
@@ -44,7 +44,7 @@ def test_round_trip(spark):
 
 
 def test_small_archives_and_ranges(spark):
-    folder = f"{work_folder(spark)}/tsalign/test-archives-{random.random()}"
+    folder = f"{scratch_folder(spark)}/test-archives-{random.random()}"
     rows = wa.plan_records(frame(spark, pages()))
     archives = wa.write_archives(rows, folder, archive_records=2)
     assert archives.count() >= 7 and {r.records for r in archives.collect()} <= {1, 2}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsalign.llm.common import measured, whole_texts
-from tsalign.operators.durable import durable, work_folder
+from tsalign.operators.durable import durable, scratch_folder
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
@@ -313,7 +313,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload of a revisit is that of the response it refers to.
     """
     spark = pages.sparkSession
-    folder = f"{work_folder(spark)}/tsalign/archives-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/archives-{uuid.uuid4().hex}"
     archives = write_archives(plan_records(pages, id_col, url_col, payload_col), folder)
     read = read_records(locate(archives)).select(
         F.col("record_id").cast("long").alias("page_id"),
