@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsalign.operators.chunk import arrange, earlier
+from tsalign.operators.chunk import arrange, earlier, join_keys
 from tsalign.operators.durable import durable
 
 
@@ -70,13 +70,15 @@ def asof_backward(
     if clip_by is None:
         return matched.select("_row.*", *[F.col("_hit")[v].alias(v) for v in values])
 
+    # the written rows hold the left keys already, so the left side is not evaluated again
+    own = placed.where(F.col("_side") == 1)
+    matched = matched.select("_row.*", "_hit")
     if clip_by:
-        firsts = durable(left.groupBy(*clip_by).agg(F.min(on).alias("_first")), "firsts")
-        matched = matched.select("_row.*", "_hit").join(firsts, list(clip_by), "left")
+        firsts = own.groupBy(*[F.col("_row")[c].alias(c) for c in clip_by]).agg(F.min("_on").alias("_first"))
+        matched = join_keys(matched, durable(firsts, "firsts"), list(clip_by), "left")
         first = F.col("_first")
     else:
-        matched = matched.select("_row.*", "_hit")
-        first = left.agg(F.min(on)).scalar()
+        first = own.agg(F.min("_on")).scalar()
     inside = F.col("_hit")["_stamp"] >= first
     return matched.select(*left.columns, *[F.when(inside, F.col("_hit")[v]).alias(v) for v in values])
 
