@@ -19,6 +19,8 @@ def cases():
             for j in rng.sample(range(len(w)), min(swaps, len(w))):
                 w[j] = "zzzz"
             docs.append([word() for _ in range(rng.randint(0, 30))] + w + [word() for _ in range(rng.randint(0, 30))])
+        for period in (4, 5):
+            docs.append([word() for _ in range(9)] + [w if j % period else "zzzz" for j, w in enumerate(item)] + [word() for _ in range(9)])
         docs.append(item[: len(item) // 2] + [word() for _ in range(20)])
         docs.append(item[1:])
     return docs, items

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from tsalign.llm.common import measured
 from tsalign.operators.durable import durable
 
-#: Fixed masks: 1 marks a word that is hashed, 0 one that is ignored.
-MASKS = ("1101011", "11001011")
+#: Fixed masks: 1 marks a word that is hashed, 0 one that is ignored. The first passes where every fourth word is
+#: another, the second where every fifth is; either where the others stand more irregularly.
+MASKS = ("110111", "11001011")
 #: Words of an item that are compared at once, and the share of them that must agree.
 WINDOW, AGREE = 13, 0.75
 #: Items with fewer words are too short to be evidence.
