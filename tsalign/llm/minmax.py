@@ -225,3 +225,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return left.select("row.*")
     keyed = left.where("doc IS NOT NULL").withColumn("h", F.sha2("text", 256)).dropDuplicates(["doc", "h"]).drop("h")
     return keyed.unionByName(left.where("doc IS NULL")).select("row.*")
+
+
+def oracle() -> str:
+    """The same in SQL: all pairs that share a shingle, and a recursive walk along the links."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= {THRESHOLD} * (a.n + b.n - k)),
+        edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(doc_id, c) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON r.c = e.x)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""

@@ -30,7 +30,7 @@ def op3_license_digest(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_texts(spark))
 
 
-@query("op4_minmax_dedup")
+@query("op4_minmax_dedup", minmax.oracle())
 def op4_minmax_dedup(spark, sf_dir):
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
