@@ -157,5 +157,5 @@ def oracle() -> str:
             SELECT doc_id, item_id, list_max(list_transform(range(0, n - k + 1), lambda s: list_sum(m[s + 1:s + k]))) / k AS share FROM m),
         found AS (
             SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids, max(share) AS best FROM shares WHERE share >= {AGREE} GROUP BY 1)
-        SELECT doc_id, best IS NOT NULL AS contaminated, coalesce(item_ids, []::BIGINT[]) AS item_ids, best
+        SELECT doc_id, best IS NOT NULL AS contaminated, coalesce(array_to_string(item_ids, ','), '') AS item_ids, best
         FROM documents LEFT JOIN found USING (doc_id)"""
