@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.llm.common import measured
 from tsalign.operators.durable import durable
 
 
-def _neighbours(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node points to the smallest node around it."""
-    both = _neighbours(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Every larger neighbour of a node points to the smallest node around it.
+
+    Only nodes with a smaller neighbour have anything to look up; the hub of a
+    large group has none, so its many edges never meet in a join.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = measured(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"), "least")
+    up = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return up.join(least, "a", "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours point to the smallest of them."""
+    """Every node and its smaller neighbours point to the smallest of them; nodes with one such neighbour stay as they are."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    ends = down.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x"))
+    several = measured(ends.where("m <> x").select("a", "m"), "several")
+    moved = down.join(several, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(ends.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.expr("bit_xor(xxhash64(a, b))"), F.count("*")
     before = edges.agg(*mark).first()
     while before[1]:
-        edges = durable(_small_star(_large_star(edges)), "edges")
+        edges = durable(_small_star(durable(_large_star(edges), "raised")), "edges")
         after = edges.agg(*mark).first()
         if after == before:
             break
