@@ -10,9 +10,8 @@ never used on the data itself. Instead:
 * unbounded frames run per ``(key, chunk)`` and take the state at the chunk's
   start from a prefix over the table of chunks.
 
-A NULL key is a key of its own: joins and windows run on the keys as one struct,
-whose fields compare equal when both are NULL. A row without a position keeps
-its place in the result and gets no index.
+A NULL key is a key of its own: joins match NULL with NULL, as windows do. A row
+without a position stays and gets no index.
 """
 
 from __future__ import annotations
@@ -37,15 +36,14 @@ def chunk_of(pos: str | Column, rows: int) -> Column:
     return F.floor(pos / F.lit(rows)).cast("long")
 
 
-def joint(keys: Sequence[str]) -> Column:
-    """Several keys as one that is never NULL and compares NULL fields as equal."""
-    return F.struct(*keys)
-
-
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys``, where NULL matches NULL. Leaves the joint key in ``_joint`` for windows that reuse the shuffle."""
-    rest = [c for c in right.columns if c not in keys]
-    return left.withColumn("_joint", joint(keys)).join(right.select(joint(keys).alias("_joint"), *rest), "_joint", how)
+    """Join on ``keys``, where NULL matches NULL; the columns of ``left`` and the other columns of ``right``."""
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(c).alias(named.get(c, c)) for c in right.columns])
+    match = F.lit(True)
+    for k, n in named.items():
+        match = match & F.col(k).eqNullSafe(F.col(n))
+    return left.join(other, match, how).drop(*named.values())
 
 
 def earlier(by: Sequence[str], on: str) -> WindowSpec:
@@ -115,7 +113,7 @@ def grid_index(
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in_chunk").over(earlier(by, "_chunk")), F.lit(0)))
     if total:
         sizes = sizes.withColumn(total, F.sum("_in_chunk").over(Window.partitionBy(*by)))
-    within = Window.partitionBy("_joint").orderBy(pos)
+    within = Window.partitionBy(*by, "_chunk").orderBy(pos)
     indexed = join_keys(chunked, sizes.drop("_in_chunk"), [*by, "_chunk"], "left")
     keep = [c for c in df.columns if c not in (name, total)]
     extra = [total] if total else []
@@ -156,11 +154,11 @@ def forward_fill(
         *by, "_chunk", *[F.last(f"_tail_{t}", True).over(before).alias(f"_carry_{t}") for t in cols.values()]
     )
     joined = join_keys(chunked, carried, [*by, "_chunk"], "left")
-    so_far = Window.partitionBy("_joint").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*by, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = joined.withColumns(
         {t: F.coalesce(F.last(c, True).over(so_far), F.col(f"_carry_{t}")) for c, t in cols.items()}
     )
-    return filled.drop("_chunk", "_joint", *[f"_carry_{t}" for t in cols.values()])
+    return filled.drop("_chunk", *[f"_carry_{t}" for t in cols.values()])
 
 
 def running_min_before(
@@ -170,6 +168,6 @@ def running_min_before(
     chunked = df.withColumn("_chunk", chunk_of(pos, rows))
     lows = chunked.groupBy(*by, "_chunk").agg(F.min(col).alias("_low"))
     carried = lows.select(*by, "_chunk", F.min("_low").over(earlier(by, "_chunk")).alias("_carry"))
-    before = Window.partitionBy("_joint").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     joined = join_keys(chunked, carried, [*by, "_chunk"], "left")
-    return joined.withColumn(name, F.least(F.min(col).over(before), F.col("_carry"))).drop("_chunk", "_carry", "_joint")
+    return joined.withColumn(name, F.least(F.min(col).over(before), F.col("_carry"))).drop("_chunk", "_carry")

@@ -116,14 +116,14 @@ def ema(
     carried = home_rows(
         spread.select(*by, "_block", "_chunk", *[folded(k, d) for k, d in enumerate(q)]), "_block", rows
     )
-    so_far = Window.partitionBy("_joint").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*by, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = join_keys(blocked, carried, [*by, "_block"])
     for k, (s, x, d) in enumerate(zip(specs, weighted, q)):
         local = F.sum(x * F.pow(F.lit(d), -F.col("_i"))).over(so_far) * F.pow(F.lit(d), F.col("_i"))
         value = F.coalesce(local, F.lit(0.0)) + F.pow(F.lit(d), F.col("_i") + 1) * F.col(f"_c{k}")
         shown = F.col(pos) >= s.lead + max(s.min_periods, 1) - 1
         joined = joined.withColumn(s.name, F.when(shown, value))
-    return joined.drop("_block", "_i", "_joint", *[f"_c{k}" for k in range(len(specs))])
+    return joined.drop("_block", "_i", *[f"_c{k}" for k in range(len(specs))])
 
 
 _OBSERVED = 4096
@@ -168,7 +168,7 @@ def _ema_over_holes(df: DataFrame, by: Sequence[str], pos: str, specs: Sequence[
             (F.col("_obs") + 1).alias(f"_n_{col}"),
             *[(F.col(f"_a{k}") * F.col(f"_c{k}") + F.col(f"_d{k}")).alias(f"_y{k}") for k, _ in mine],
         )
-        out = join_keys(out, valued, [*by, pos], "left").drop("_joint")
+        out = join_keys(out, valued, [*by, pos], "left")
     counts = {s.col for s in specs}
     out = forward_fill(
         out, by, pos, {**{f"_n_{c}": f"_s_{c}" for c in counts}, **{f"_y{k}": f"_f{k}" for k in range(len(specs))}}, rows

@@ -71,7 +71,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Data
 def target_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """:func:`describe` with exact quartiles; a feature without values has count 0 and NULLs."""
     keys = [*by, "feature"]
-    return join_keys(describe(df, cols, by), quantiles(df, by, cols, QUARTILES), keys, "left").drop("_joint")
+    return join_keys(describe(df, cols, by), quantiles(df, by, cols, QUARTILES), keys, "left")
 
 
 def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -179,7 +179,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
         .drop("_lo", "_hi")
     )
     every = _per_feature(df, by, cols, lambda c: {"_n": F.count(c)}).drop("_n")
-    return join_keys(every, boxes, [*by, "feature"], "left").drop("_joint")
+    return join_keys(every, boxes, [*by, "feature"], "left")
 
 
 def outlier_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

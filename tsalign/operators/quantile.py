@@ -53,7 +53,7 @@ def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict
     ]
     brackets = durable(sketch.select(*keys, F.array(*brackets).alias("_brackets")), "brackets")
 
-    near = join_keys(values, brackets, keys).drop("_joint")
+    near = join_keys(values, brackets, keys)
     value = F.col("value")
     below = near.groupBy(*keys).agg(
         *[F.count_if(value < F.col("_brackets")[i]["low"]).alias(f"_below_{i}") for i in range(len(probs))]
@@ -71,7 +71,7 @@ def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict
     parts = durable(parts, "parts")
 
     ranked = join_keys(counted, parts, [*slots, "_part"])
-    so_far = Window.partitionBy("_joint").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*slots, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranked.withColumn("_hi", F.sum("rows").over(so_far) + F.col("_before"))
     at = lambda k: F.max(F.when((F.col("_hi") - F.col("rows") <= k) & (k < F.col("_hi")), value))
     rank = F.col("rank")
@@ -89,4 +89,4 @@ def with_fences(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFr
     """The melted values with their group's quartiles and 1.5 IQR fences."""
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quantiles(df, by, cols, QUARTILES).withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
-    return join_keys(melt(df, by, cols), durable(fences, "fences"), [*by, "feature"]).drop("_joint")
+    return join_keys(melt(df, by, cols), durable(fences, "fences"), [*by, "feature"])

@@ -147,4 +147,4 @@ def keep_last_n(df: DataFrame, by: Sequence[str], pos: str, n: int = 3) -> DataF
     newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(pos)))
     last = df.select(*by, pos).withColumn("_rank", newest).where(F.col("_rank") <= n).groupBy(*by).agg(F.min(pos).alias("_last"))
     joined = join_keys(df, last, by, "left")
-    return joined.withColumn("keep", F.coalesce(F.col(pos) >= F.col("_last"), F.lit(False))).drop("_last", "_joint")
+    return joined.withColumn("keep", F.coalesce(F.col(pos) >= F.col("_last"), F.lit(False))).drop("_last")
