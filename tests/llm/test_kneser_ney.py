@@ -53,6 +53,20 @@ def test_decisions(spark):
     assert out.dtypes == d.dtypes and 300 in {r.doc_id for r in out.collect()}
 
 
+def test_outlying_trusted_texts_do_not_let_junk_pass(spark):
+    rng = random.Random(4)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    docs = [(i, say(rng.randint(60, 200)), "en") for i in range(400)]
+    docs += [(400 + i, "".join(rng.choice("äöüß€¥") for _ in range(12)), "en") for i in range(12)]
+    docs += [(1000 + i, " ".join(["".join(rng.choice("abcdefgh") for _ in range(6))] * 80), "en") for i in range(20)]
+    docs += [(2000 + i, " | ".join(rng.choice(known)[:3] for _ in range(60)), "en") for i in range(20)]
+    d, l = frames(spark, docs, [(i, 1, 0, "q") for i in range(412)])
+    kept = {r.doc_id: r.kept for r in kn.classify(d, l).collect()}
+    assert sum(not kept[1000 + i] for i in range(20)) >= 18 and not any(kept[2000 + i] for i in range(20))
+    assert sum(kept[i] for i in range(400)) >= 390
+
+
 def test_empty_tables(spark):
     docs, labels = corpus()
     d, l = frames(spark, docs, labels)

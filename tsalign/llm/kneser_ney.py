@@ -2,8 +2,9 @@
 
 The model is over characters, five at a time, so it holds for every language of
 the table and has no unknown words. Counts cover the whole text of every trusted
-document but those of the held-out fold; nothing is sampled. Thresholds are
-quantiles of the held-out fold's perplexity, one for each language.
+document but those of the held-out fold; nothing is sampled. Thresholds come from
+the median and the interquartile range of the held-out fold's log perplexity, one
+for each language; its few outlying texts move neither.
 
 1. Each task counts the distinct 5-grams of its documents (with zero for those of
    untrusted text); the counts meet in a shuffle by 5-gram.
@@ -16,7 +17,8 @@ quantiles of the held-out fold's perplexity, one for each language.
 
 Defined results: NULL and empty texts, and all texts if nothing is trusted, have
 NULL perplexity and are kept; NULL languages are one language; a language
-without held-out text takes the threshold over all languages; a label that
+with fewer than ``LEAST`` held-out texts of unlike perplexity takes the threshold
+over all languages; copies of a held-out text count once in it; a label that
 repeats counts once, and a document with unlike labels is not trusted; NULL ids
 are never trusted; rows that repeat an id are trusted together; a character NUL
 counts as U+2400; other columns are ignored or kept unchanged; an empty table
@@ -41,8 +43,11 @@ U64 = np.uint64
 ORDER = 5
 #: One trusted document in this many is held out for the thresholds.
 FOLDS = 5
-#: The held-out quantile of each language, and the tolerance on the perplexity it gives.
-QUANTILE, TOLERANCE = 0.995, 1.15
+#: Standard deviations (interquartile range / 1.349) above the held-out median that log perplexity may lie, and a
+#: factor on the bound this gives.
+SPREADS, TOLERANCE = 4.0, 1.0
+#: Held-out texts of unlike perplexity from which a language has a threshold of its own.
+LEAST = 20
 #: Rows of a shard, shards between two writes, and characters handled at once.
 SHARD, SHARDS_AT_ONCE, BLOCK = 4_000_000, 8, 500_000
 
@@ -244,7 +249,7 @@ def classify(
     lang_col: str = "lang",
     label_id: str = "doc_id",
     label_col: str = "quality",
-    quantile: float = QUANTILE,
+    spreads: float = SPREADS,
     tolerance: float = TOLERANCE,
     shard_rows: int = SHARD,
 ) -> DataFrame:
@@ -267,9 +272,11 @@ def classify(
         scored = rows.select("doc_id", "lang", "held", F.lit(None).cast("double").alias("perplexity"))
     else:
         scored = durable(perplexities(rows.drop("train"), probabilities(grams), shard_rows), "perplexities")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(1_000_000)) * F.lit(tolerance)
-    calibration = scored.where("held AND perplexity IS NOT NULL")
-    own = measured(calibration.groupBy(F.col("lang").alias("of")).agg(at.alias("own")), "bounds")
+    q = F.percentile_approx(F.log("perplexity"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1_000_000))
+    at = F.exp(q[1] + F.lit(spreads / 1.349) * (q[2] - q[0])) * F.lit(tolerance)
+    calibration = scored.where("held AND perplexity IS NOT NULL").select("lang", "perplexity").distinct()
+    own = calibration.groupBy(F.col("lang").alias("of")).agg(at.alias("own"), F.count("*").alias("n"))
+    own = measured(own.where(F.col("n") >= LEAST).select("of", "own"), "bounds")
     overall = calibration.agg(at.alias("overall")).first()[0]
     bound = F.coalesce(F.col("own"), F.lit(overall).cast("double"))
     return scored.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").select(
