@@ -67,6 +67,16 @@ def test_outlying_trusted_texts_do_not_let_junk_pass(spark):
     assert sum(kept[i] for i in range(400)) >= 390
 
 
+def test_toxic_texts_are_not_trusted(spark):
+    rng = random.Random(6)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(100)]
+    docs = [(i, " ".join(rng.choice(known) for _ in range(60)), "en") for i in range(200)]
+    docs += [(1000 + i, " ".join(rng.choice(["scum", "trash", "idiot"]) for _ in range(60)), "en") for i in range(100)]
+    d, l = frames(spark, docs, [(i, 1, 0, "q") for i in range(200)] + [(1000 + i, 1, 1, "q") for i in range(100)] + [(0, 1, None, "q")])
+    kept = {r.doc_id: r.kept for r in kn.classify(d, l).collect()}
+    assert not any(kept[1000 + i] for i in range(100)) and sum(kept[i] for i in range(200)) >= 195
+
+
 def test_empty_tables(spark):
     docs, labels = corpus()
     d, l = frames(spark, docs, labels)

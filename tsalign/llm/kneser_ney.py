@@ -19,8 +19,8 @@ Defined results: NULL and empty texts, and all texts if nothing is trusted, have
 NULL perplexity and are kept; NULL languages are one language; a language
 with fewer than ``LEAST`` held-out texts of unlike perplexity takes the threshold
 over all languages; copies of a held-out text count once in it; a label that
-repeats counts once, and a document with unlike labels is not trusted; NULL ids
-are never trusted; rows that repeat an id are trusted together; a character NUL
+repeats counts once, and a document with unlike labels or any label toxic is not
+trusted; a NULL toxic label says nothing; NULL ids are never trusted; rows that repeat an id are trusted together; a character NUL
 counts as U+2400; other columns are ignored or kept unchanged; an empty table
 gives an empty table.
 """
@@ -249,16 +249,17 @@ def classify(
     lang_col: str = "lang",
     label_id: str = "doc_id",
     label_col: str = "quality",
+    toxic_col: str = "toxic",
     spreads: float = SPREADS,
     tolerance: float = TOLERANCE,
     shard_rows: int = SHARD,
 ) -> DataFrame:
-    """Per row: ``doc_id, lang, perplexity, bound, kept``. Trusted documents are those that ``labels`` marks 1."""
+    """Per row: ``doc_id, lang, perplexity, bound, kept``. Trusted documents are those that ``labels`` marks 1 and not toxic."""
     trusted = (
         labels.where(F.col(label_id).isNotNull())
         .groupBy(F.col(label_id).cast("long").alias("known"))
-        .agg(F.min(F.coalesce(F.col(label_col), F.lit(0))).alias("least"))
-        .where("least = 1")
+        .agg(F.min(F.coalesce(F.col(label_col), F.lit(0))).alias("least"), F.max(F.coalesce(F.col(toxic_col), F.lit(0))).alias("toxic"))
+        .where("least = 1 AND toxic = 0")
         .select("known")
     )
     trusted = measured(trusted, "trusted")
