@@ -1,4 +1,6 @@
+import math
 import random
+from itertools import combinations
 
 import brute
 
@@ -44,6 +46,28 @@ def test_against_brute_force(spark):
     assert got.count() == len(docs) and left.count() == len(docs) - len(found) and left.dtypes == frame.dtypes
 
 
+def arrangements():
+    """``(words, places of the other words)``: all that the rule accepts with as many other words as it allows."""
+    for n in range(seeds.MIN_WORDS, seeds.WINDOW + 1):
+        for places in combinations(range(n), n - math.ceil(seeds.AGREE * n)):
+            yield n, places
+
+
+def test_every_accepted_arrangement_shares_a_seed():
+    for n, places in arrangements():
+        assert any(
+            all(at + i not in places for i, m in enumerate(mask) if m == "1") for mask in seeds.MASKS for at in range(n - len(mask) + 1)
+        ), (n, places)
+
+
+def test_every_accepted_arrangement_is_found(spark):
+    items = {n: [f"w{n}x{j}" for j in range(n)] for n in range(seeds.MIN_WORDS, seeds.WINDOW + 1)}
+    docs = [["a", "b"] + ["other" if j in places else w for j, w in enumerate(items[n])] + ["c"] for n, places in arrangements()]
+    want = brute.contaminated(list(enumerate(docs)), list(items.items()), seeds.WINDOW, seeds.AGREE, seeds.MIN_WORDS)
+    got, _, _ = run(spark, [(i, " ".join(w)) for i, w in enumerate(docs)], [(n, " ".join(w)) for n, w in items.items()])
+    assert {r.doc_id for r in got.where("contaminated").collect()} == want == set(range(len(docs)))
+
+
 def test_edges(spark):
     item = "one two three four five six seven eight nine ten"
     docs = [(None, item), (1, None), (2, ""), (3, "..."), (4, item.upper()), (4, item.upper()), (5, item + " x" * 50_000), (6, "a b")]
