@@ -1,5 +1,6 @@
 """The pipeline against plain versions of its stages, one after the other."""
 
+import math
 import random
 import re
 
@@ -46,8 +47,9 @@ def test_stages_and_run(spark, folder):
     held = {r.doc_id for r in start.where(F.pmod(F.xxhash64("doc_id"), F.lit(kn.FOLDS)) == 0).collect()}
     trusted = set(range(110))
     known = brute.kneser_ney([d[1] for d in docs if d[0] in trusted - held], [d[1] for d in docs])
-    calibration = sorted(p for d, p in zip(docs, known) if d[0] in trusted & held)
-    at = calibration[-(-int(kn.QUANTILE * len(calibration) * 1000) // 1000) - 1 if kn.QUANTILE * len(calibration) <= len(calibration) - 1 else -1] * kn.TOLERANCE
+    calibration = sorted({math.log(p) for d, p in zip(docs, known) if d[0] in trusted & held})
+    low, middle, high = (calibration[math.ceil(q * len(calibration)) - 1] for q in (0.25, 0.5, 0.75))
+    at = math.exp(middle + kn.SPREADS / 1.349 * (high - low)) * kn.TOLERANCE
     left = [d for d, p in zip(docs, known) if p is None or p <= at or d[0] is None]
     clean = dict(enumerate(t for _, t in brute.drop_lines([(d[0], d[3], d[1]) for d in left], lines.RATIO, lines.MIN_PAGES)))
     left = [(d[0], clean[k]) for k, d in enumerate(left)]
