@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, kneser_ney, licenses, lines, minmax, onebit, pieces, seeds, tagpaths, webarchive
+from tsalign.llm import chat, kneser_ney, licenses, lines, merkle, minmax, onebit, pieces, seeds, tagpaths, webarchive
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
@@ -67,3 +67,8 @@ def op9_tag_path_text(spark, sf_dir):
 @query("op10_nbest_pieces")
 def op10_nbest_pieces(spark, sf_dir):
     return pieces.round_trip(table(spark, sf_dir, "documents")).drop("decoded")
+
+
+@query("op12_merkle_manifest", merkle.oracle())
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
