@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, kneser_ney, licenses, lines, merkle, minmax, onebit, pieces, seeds, tagpaths, webarchive
+from tsalign.llm import chat, kneser_ney, licenses, lines, merkle, minmax, onebit, pieces, seeds, tagpaths, threshold, webarchive
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
@@ -72,3 +72,8 @@ def op10_nbest_pieces(spark, sf_dir):
 @query("op12_merkle_manifest", merkle.oracle())
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_threshold_negatives", threshold.oracle())
+def op13_threshold_negatives(spark, sf_dir):
+    return threshold.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=threshold.shifted_label())
