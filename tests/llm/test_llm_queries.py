@@ -21,7 +21,7 @@ def test_matches_sql(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], ORACLES[name], FOLDER) is None
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_each_operator_has_a_query(number):
     assert [q for q in QUERIES if q.startswith(f"op{number}_")]
 

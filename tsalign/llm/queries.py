@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsalign.llm import chat, kneser_ney, licenses, lines, merkle, minmax, onebit, pieces, seeds, tagpaths, threshold, webarchive
+from tsalign.llm import chat, kneser_ney, licenses, lines, merkle, minmax, onebit, pieces, seeds, tagpaths, threshold, toxicity, webarchive
 from tsalign.llm.common import table
 from tsalign.llm.registry import ORACLES, QUERIES, query
 
@@ -69,6 +69,11 @@ def op10_nbest_pieces(spark, sf_dir):
     return pieces.round_trip(table(spark, sf_dir, "documents")).drop("decoded")
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op12_merkle_manifest", merkle.oracle())
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
