@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.functions.subwords import Subwords
+from tsalign.operators.durable import durable
+from tsalign.sources import committed
+
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
@@ -78,6 +82,59 @@ def embed_column(
     return df.withColumn(name, embed(F.col(col)))
 
 
+def embed_with_store(
+    df: DataFrame,
+    col: str,
+    store: str,
+    name: str = "text_embedding",
+    encoder: Callable[[], Encoder] = HashedTokens,
+    tokenizer: Callable[[], Subwords] | None = None,
+    max_tokens: int | None = None,
+    batch: int = 32,
+    partitions: int | None = None,
+) -> DataFrame:
+    """A vector per row of a text column, from a store of vectors keyed by the text's hash.
+
+    Only texts that the committed table at ``store`` lacks are encoded, each
+    distinct one once, and added to it; so a run that was killed, or that meets
+    rows of an earlier one, goes on from there. One store belongs to one encoder
+    and one limit. With ``max_tokens`` the encoder reads the first sub-word tokens
+    of a text. Inside a task texts go to the encoder in batches of like length.
+    NULL is read as empty text. Texts move only if they are encoded.
+    """
+    spark = df.sparkSession
+    if max_tokens is not None and tokenizer is None:
+        raise ValueError("max_tokens counts the tokens of a tokenizer")
+    digest = F.sha2(F.coalesce(F.col(col), F.lit("")), 256)
+    texts = df.select(digest.alias("digest"), F.coalesce(F.col(col), F.lit("")).alias("text"))
+    known = committed.read(spark, store)
+    if known is not None:
+        texts = texts.join(known.select("digest"), "digest", "left_anti")
+    todo = durable(texts.groupBy("digest").agg(F.first("text").alias("text")), "unseen")
+    if known is None or not todo.isEmpty():
+        if partitions is not None:
+            todo = todo.repartition(partitions)
+
+        def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            run, cutter = encoder(), tokenizer() if tokenizer else None
+            for frame in frames:
+                values = frame["text"].tolist()
+                if max_tokens is not None:
+                    values = [cutter.head(t, max_tokens) for t in values]
+                lengths = cutter.counts(values) if cutter else [len(t) for t in values]
+                order = np.argsort(lengths, kind="stable")
+                vectors: list = [None] * len(values)
+                for start in range(0, len(order), batch):
+                    few = order[start : start + batch]
+                    for i, vector in zip(few, run([values[i] for i in few])):
+                        vectors[i] = vector
+                yield pd.DataFrame({"digest": frame["digest"], "vector": vectors})
+
+        committed.commit(todo.mapInPandas(encode, "digest string, vector array<float>"), store, append=True)
+    vectors = committed.read(spark, store).select(F.col("digest").alias("_digest"), F.col("vector").alias(name))
+    return df.withColumn("_digest", digest).join(vectors, "_digest").drop("_digest")
+
+
 def project_vectors(
     df: DataFrame, col: str, name: str, in_dim: int = 768, out_dim: int = 256, seed: int = 42
 ) -> DataFrame:

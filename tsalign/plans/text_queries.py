@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tsalign.functions.classes import fear_greed_class, ratio_class, sentiment_class, significance_stars, tone_class
@@ -13,8 +16,9 @@ from tsalign.functions.text import (
     text_hash,
     token_count,
 )
+from tsalign.functions.subwords import BytePairs, WordPieces, token_count_subword
 from tsalign.functions.time import floor_hour, from_millis, from_seconds, parse_iso, to_numeric
-from tsalign.operators.durable import durable
+from tsalign.operators.durable import durable, scratch_folder
 from tsalign.operators.dedupe import (
     concat_assets,
     concat_splits,
@@ -26,7 +30,7 @@ from tsalign.operators.dedupe import (
     removed_rows,
     sort_by_time,
 )
-from tsalign.operators.features import embed_column, encoder_of, format_prompt, project_vectors, tabular_baseline, xavier_uniform
+from tsalign.operators.features import embed_column, embed_with_store, encoder_of, format_prompt, project_vectors, tabular_baseline, xavier_uniform
 from tsalign.operators.filters import (
     PLACEHOLDER,
     drop_any_null,
@@ -62,6 +66,7 @@ from tsalign.operators.texts import (
 from tsalign.plans.registry import query
 from tsalign.plans.series_queries import _SPLIT
 from tsalign.plans.tables import BARS, STAMP, bars, load, r, stamp
+from tsalign.sources import committed
 from tsalign.sources.files import month_paths
 
 # --- text -------------------------------------------------------------------
@@ -153,6 +158,43 @@ def token_count_query(spark, folder):
     return load(spark, folder, "documents").select("doc_id", token_count(F.col("text")).cast("long").alias("tokens"))
 
 
+#: The vocabulary of :func:`token_count_subword_query`; any file of its kind will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("token_count_subword")
+def token_count_subword_query(spark, folder):
+    count = token_count_subword(F.col("text"), partial(BytePairs.load, VOCABULARY))
+    return load(spark, folder, "documents").select("doc_id", count.alias("tokens"))
+
+
+# A small vocabulary, of letters and common beginnings and ends.
+_LETTERS = [*"abcdefghijklmnopqrstuvwxyzäöüßéèêçáíóúñ"]
+_BEGINS = ["the", "and", "th", "er", "on", "an", "in", "ein", "ver", "un", "ge", "les", "ré", "eau", "los", "que", "ción", *_LETTERS, *".,|!#$%&*"]
+_ENDS = ["tion", "ing", "ed", "er", "on", "an", "lich", "keit", "ung", "heit", "elle", "eux", "ment", "mente", "ción", "ado", *_LETTERS]
+
+
+def _longest_first(pieces):
+    return "|".join("[" + p + "]" if len(p) == 1 else p for p in sorted(pieces, key=len, reverse=True))
+
+
+@query(
+    "token_count_wordpiece",
+    rf"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS w FROM documents),
+cut AS (SELECT w, regexp_extract(w, '^(?:{_longest_first(_BEGINS)})') AS head FROM words),
+rest AS (SELECT w, head, regexp_extract_all(substr(w, length(head) + 1), '{_longest_first(_ENDS)}') AS pieces FROM cut),
+sized AS (SELECT w, CASE WHEN length(w) <= 100 AND head <> '' AND length(head) + length(array_to_string(pieces, '')) = length(w)
+  THEN 1 + len(pieces) ELSE 1 END AS n FROM rest),
+met AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS w FROM documents),
+sums AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens FROM met JOIN sized USING (w) GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(tokens, 0) END AS tokens FROM documents LEFT JOIN sums USING (doc_id)""",
+)
+def token_count_wordpiece_query(spark, folder):
+    pieces = [*_BEGINS, *["##" + p for p in _ENDS]]
+    count = token_count_subword(F.col("text"), partial(WordPieces, pieces))
+    return load(spark, folder, "documents").select("doc_id", count.alias("tokens"))
+
+
 @query(
     "text_length_stats",
     """SELECT lang, CAST(min(length(text)) AS BIGINT) AS min_chars, CAST(max(length(text)) AS BIGINT) AS max_chars,
@@ -691,6 +733,26 @@ def embed_text(spark, folder):
     return embed_column(documents, "text", encoder=encoder_of(256)).drop("text")
 
 
+@query(
+    "embed_resume",
+    """WITH talks AS (SELECT DISTINCT coalesce(text, '') AS t FROM conversations), docs AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents)
+SELECT 1 AS run, (SELECT count(*) FROM conversations) AS n_rows, (SELECT count(*) FROM talks) AS encoded
+UNION ALL SELECT 2, (SELECT count(*) FROM documents), (SELECT count(*) FROM docs WHERE t NOT IN (SELECT t FROM talks))
+UNION ALL SELECT 3, (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations), 0""",
+)
+def embed_resume(spark, folder):
+    """Turns, then documents, then both once more: how many texts each run had to encode."""
+    store = f"{scratch_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    turns, documents = load(spark, folder, "conversations").select("text"), load(spark, folder, "documents").select("text")
+    out, before = None, 0
+    for run, texts in enumerate([turns, documents, documents.unionByName(turns)], 1):
+        rows = embed_with_store(texts, "text", store, "vector", encoder_of(64), partial(WordPieces, [*_BEGINS, *["##" + p for p in _ENDS]]), max_tokens=512)
+        stored = committed.manifest(spark, store)["rows"]
+        counted = rows.agg(F.count("vector").alias("n_rows")).select(F.lit(run).alias("run"), "n_rows", F.lit(stored - before).cast("long").alias("encoded"))
+        out, before = counted if out is None else out.unionByName(counted), stored
+    return out
+
+
 _MATRIX = [[float(x) for x in row] for row in xavier_uniform(64, 16, 42)]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tsalign.operators.chunk import CHUNK_ROWS, grid_index, row_index
 from tsalign.operators.durable import durable
-from tsalign.operators.features import Encoder, HashedTokens, embed_column
+from tsalign.operators.features import Encoder, HashedTokens, embed_column, embed_with_store
 from tsalign.operators.filters import TABULAR, select_feature_vector
 from tsalign.operators.joins import zip_modalities
 from tsalign.operators.scale import apply_scaler, fit_robust, fit_standard
@@ -23,13 +23,20 @@ def feature_tables(
     encoder: Callable[[], Encoder] = HashedTokens,
     tabular: Sequence[str] = TABULAR,
     images: DataFrame | None = None,
+    store: str | None = None,
 ) -> dict[str, DataFrame]:
     """Raw (unscaled) ``text``, ``tabular`` and ``target`` tables keyed by asset, split and row.
 
+    With ``store`` (see :func:`embed_with_store`) texts that an earlier run met are not encoded again.
     ``images(image_path, vector)`` adds the ``image`` table; a row without a vector keeps a NULL there.
     """
+    texts = aligned.select(*KEYS, "text_content")
+    if store is None:
+        embedded = embed_column(texts, "text_content", "vector", encoder)
+    else:
+        embedded = embed_with_store(texts, "text_content", store, "vector", encoder)
     out = {
-        "text": embed_column(aligned.select(*KEYS, "text_content"), "text_content", "vector", encoder).select(*KEYS, "vector"),
+        "text": embedded.select(*KEYS, "vector"),
         "tabular": select_feature_vector(aligned, tabular, "vector").select(*KEYS, "vector"),
         "target": aligned.select(*KEYS, F.col("target_score").cast("float").alias("vector")),
     }
