@@ -15,7 +15,7 @@ from tsalign.plans.registry import query
 from tsalign.plans.series_queries import _SPLIT
 from tsalign.plans.tables import BARS, DAILY, STAMP, bars, daily, load, stamp
 from tsalign.plans.text_queries import KINDS, PATTERNS, clean_sql
-from tsalign.sources import files, sinks
+from tsalign.sources import files, sinks, zipped
 
 
 def _place(spark: SparkSession, label: str) -> str:
@@ -62,22 +62,39 @@ def read_klines_raw(spark, folder):
     return out.drop(*files.FILE_ORDER).withColumn("timestamp", stamp("timestamp"))
 
 
-@query(
-    "read_monthly",
-    f"""WITH {DAILY} SELECT asset, strftime(day, '%Y-%m-%d') AS day, close FROM daily
-WHERE day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""",
-)
-def read_monthly(spark, folder):
-    """Orders as a daily series for each priority, landed in monthly folders, every bar twice."""
+# The priorities of the orders.
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+_MONTHLY = f"""WITH {DAILY} SELECT asset, strftime(day, '%Y-%m-%d') AS day, close FROM daily
+WHERE day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"""
+
+
+def _raw_days(spark, folder):
+    """Orders as a daily series for each priority, in the columns of a raw bar file."""
     series = daily(spark, folder).withColumn("series", F.substring("asset", 1, 1))
     zero = {c: F.lit(0) for c in files.RAW_KLINE_COLUMNS[6:]}
     raw = series.withColumn("timestamp", F.unix_millis(F.col("day").cast("timestamp"))).withColumns(zero)
-    raw = raw.select(*files.RAW_KLINE_COLUMNS, "series", F.date_format("day", "yyyy-MM").alias("month"))
+    return raw.select(*files.RAW_KLINE_COLUMNS, "series", F.date_format("day", "yyyy-MM").alias("month"))
+
+
+@query("read_monthly", _MONTHLY)
+def read_monthly(spark, folder):
+    """Daily series, landed in monthly folders, every bar twice."""
+    raw = _raw_days(spark, folder)
     path = _place(spark, "monthly")
     raw.unionByName(raw).write.partitionBy("series", "month").csv(path)
-    # The priorities of the orders.
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    parts = {n: files.read_monthly(spark, f"{path}/series={n[0]}", "month=", "1996-01-01", "1999-12-01") for n in names}
+    prefixes = {n: f"series={n[0]}/month=" for n in _PRIORITIES}
+    out = files.read_monthly_series(spark, path, prefixes, "1996-01-01", "1999-12-01")
+    return out.select("asset", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "close")
+
+
+@query("read_monthly_zipped", _MONTHLY)
+def read_monthly_zipped(spark, folder):
+    """The same series, landed as one archive per series and month, every bar twice."""
+    raw = _raw_days(spark, folder)
+    path = _place(spark, "zipped")
+    zipped.write_zipped(raw.unionByName(raw), path, ["series", "month"], "s{}-1d-{}", files.RAW_KLINE_COLUMNS, "timestamp").agg(F.sum("rows")).collect()
+    parts = {n: files.read_monthly_zipped(spark, path, f"s{n[0]}-1d-", "1996-01-01", "1999-12-01") for n in _PRIORITIES}
     return concat_assets(parts).select("asset", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "close")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
@@ -14,6 +14,7 @@ from tsalign.functions.text import asset_list, clean_text, combine_news_text, co
 from tsalign.functions.time import floor_hour, from_millis, parse_iso, to_numeric
 from tsalign.operators.dedupe import concat_assets, dedupe_keep_first
 from tsalign.operators.filters import PLACEHOLDER
+from tsalign.sources.zipped import line_order, numeric_lines, read_zipped
 
 # The twelve positional columns of a raw bar file.
 RAW_KLINE_COLUMNS = [
@@ -88,18 +89,53 @@ def month_paths(df: DataFrame, start: Column, end: Column, template: str) -> Dat
     return months.withColumn("path", F.format_string(template, "month"))
 
 
-def read_monthly(spark: SparkSession, folder: str, prefix: str, start: str, end: str) -> DataFrame:
-    """All monthly bar files of a series, sorted, first row per stamp; absent months do not match the glob."""
+def _months(start: str, end: str) -> list[str]:
     months, at, last = [], date.fromisoformat(start[:10]).replace(day=1), date.fromisoformat(end[:10])
     while at <= last:
         months.append(f"{at:%Y-%m}")
         at = (at + timedelta(days=31)).replace(day=1)
+    return months
+
+
+_NO_BARS = ", ".join(["timestamp timestamp", *[f"{c} double" for c in BARS]])
+
+
+def read_monthly(spark: SparkSession, folder: str, prefix: str, start: str, end: str) -> DataFrame:
+    """All monthly bar files of a series, sorted, first row per stamp; absent months do not match the glob."""
+    months = _months(start, end)
     merged = read_if_present(read_klines_raw, spark, f"{folder}/{prefix}{{{','.join(months)}}}*") if months else None
     if merged is None:
-        return spark.createDataFrame([], ", ".join(["timestamp timestamp", *[f"{c} double" for c in BARS]]))
+        return spark.createDataFrame([], _NO_BARS)
     return dedupe_keep_first(merged, ["timestamp"], FILE_ORDER).drop(*FILE_ORDER).orderBy("timestamp")
 
 
+def read_monthly_series(spark: SparkSession, folder: str, prefixes: Mapping[str, str], start: str, end: str) -> DataFrame:
+    """``asset, ordinal`` and the bars of several series from one scan, first row per series and stamp.
+
+    ``prefixes`` maps an asset to the beginning of its files' paths below ``folder``; none may begin another. Rows are not sorted.
+    """
+    months, merged = _months(start, end), None
+    if months and prefixes:
+        merged = read_if_present(read_klines_raw, spark, f"{folder}/{{{','.join(prefixes.values())}}}{{{','.join(months)}}}*")
+    if merged is None:
+        return spark.createDataFrame([], f"asset string, ordinal int, {_NO_BARS}")
+    below = F.substring_index("_file", f"{folder.rsplit('/', 1)[-1]}/", -1)
+    ordinal = F.coalesce(*[F.when(below.startswith(p), F.lit(i)) for i, p in enumerate(prefixes.values())])
+    first = dedupe_keep_first(merged.withColumn("ordinal", ordinal), ["ordinal", "timestamp"], FILE_ORDER)
+    names = F.element_at(F.array(*[F.lit(a) for a in prefixes]), F.col("ordinal") + 1)
+    return first.select(names.alias("asset"), "ordinal", "timestamp", *BARS)
+
+
+def read_monthly_zipped(spark: SparkSession, folder: str, prefix: str, start: str, end: str) -> DataFrame:
+    """As :func:`read_monthly` for archives ``<prefix><month>….zip`` with delimited members; a task for each member."""
+    globs = [f"{prefix}{m}*.zip" for m in _months(start, end)]
+    if not globs:
+        return spark.createDataFrame([], _NO_BARS)
+    raw = numeric_lines(read_zipped(spark, folder, RAW_KLINE_COLUMNS, ["timestamp", *BARS], globs), "timestamp")
+    bars = raw.select(from_millis(F.col("timestamp")).alias("timestamp"), *_numbers(BARS), *line_order())
+    return dedupe_keep_first(bars, ["timestamp"], line_order()).drop(*line_order()).orderBy("timestamp")
+
+
 def read_funding(spark: SparkSession, path: str) -> DataFrame:
     """Exact millisecond stamps; they are not rounded to the hour."""
     raw = with_file_order(read_csv(spark, path))
