@@ -14,6 +14,7 @@ from tsalign.functions.text import asset_list, clean_text, combine_news_text, co
 from tsalign.functions.time import floor_hour, from_millis, parse_iso, to_numeric
 from tsalign.operators.dedupe import concat_assets, dedupe_keep_first
 from tsalign.operators.filters import PLACEHOLDER
+from tsalign.sources.records import read_csv_records
 from tsalign.sources.zipped import line_order, numeric_lines, read_zipped
 
 # The twelve positional columns of a raw bar file.
@@ -205,17 +206,17 @@ def read_macro(spark: SparkSession, path: str) -> DataFrame:
 def read_news(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Stamp and combined text of each article in file order; other columns are never parsed.
 
-    Article bodies may hold line breaks inside quotes, which makes a file
-    unsplittable; land many files, or pass ``multiline=False`` for flat texts.
+    Article bodies may hold line breaks inside quotes; a file is read in many
+    tasks all the same (:mod:`tsalign.sources.records`). ``multiline=False``
+    spares flat texts the scan that finds where quotes are open.
     """
     raw = read_csv(spark, path, multiline)
     if "combined_text" in raw.columns:
         text = F.col("combined_text")
     else:
         text = combine_news_text(F.col(_names(raw, "title")), F.col(_names(raw, "body")))
-    return with_file_order(raw).select(
-        parse_iso(F.col("published_on")).alias("timestamp"), text.alias("text_content"), *FILE_ORDER
-    )
+    placed = read_csv_records(spark, path, raw.columns) if multiline else with_file_order(raw)
+    return placed.select(parse_iso(F.col("published_on")).alias("timestamp"), text.alias("text_content"), *FILE_ORDER)
 
 
 _LISTING = """data struct<after: string, children: array<struct<data: struct<
