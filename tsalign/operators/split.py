@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -96,3 +97,47 @@ def batches(
     if drop_last:
         out = out.where(F.col("batch_idx") < F.floor(F.col("_total") / F.lit(size)))
     return out.drop("_at", "_total")
+
+
+#: Rounds of the keyed permutation, and the prime that its round function works in.
+ROUNDS, _PRIME = 24, 2**31 - 1
+
+
+def round_keys(seed: int, epoch: int = 0) -> list[tuple[int, int, int, int]]:
+    """The keys of one epoch's permutation."""
+    rng = random.Random(f"{seed}:{epoch}")
+    return [tuple(rng.randrange(1, _PRIME) for _ in range(4)) for _ in range(ROUNDS)]
+
+
+def permuted(pos: Column, n: Column, seed: int, epoch: int = 0) -> Column:
+    """The place of ``pos`` in a keyed permutation of ``0 .. n - 1``, as an expression.
+
+    In every round a position and its mirror image about the round's key change
+    places or not, as a hash of the greater of both decides. That is a bijection
+    for any ``n``, without walking cycles, and needs no other row.
+    """
+    keys = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip("kabc", key)]) for key in round_keys(seed, epoch)])
+
+    def step(x: Column, key: Column) -> Column:
+        mirror = (key["k"] % n + n - x) % n
+        z = (F.greatest(x, mirror) % _PRIME * key["a"] + key["b"]) % _PRIME
+        z = (z * z + key["c"]) % _PRIME
+        return F.when(F.shiftright(z, 16) % 2 == 1, mirror).otherwise(x)
+
+    return F.aggregate(keys, pos.cast("long"), step)
+
+
+def epoch_batches(
+    df: DataFrame, pos: str, total: str | Column, size: int, epoch: int = 0, seed: int = 42, drop_last: bool = True
+) -> DataFrame:
+    """Add ``batch_idx`` and ``in_batch`` of one epoch: each epoch has its own order, and no row moves.
+
+    ``pos`` is a dense 0-based index of ``total`` rows (see ``row_index`` and
+    ``grid_index``), made once for all epochs. A row without a position has no batch.
+    """
+    n = (F.col(total) if isinstance(total, str) else total).cast("long")
+    place = permuted(F.col(pos), n, seed, epoch)
+    out = df.withColumn("_place", place).withColumns({"batch_idx": F.floor(F.col("_place") / size), "in_batch": (F.col("_place") % size).cast("int")})
+    if drop_last:
+        out = out.where(F.col("batch_idx").isNull() | (F.col("batch_idx") < F.floor(n / size)))
+    return out.drop("_place")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tsalign.functions.text import asset_list, clean_text, combine_post_text
 from tsalign.operators.durable import scratch_folder
 from tsalign.operators.dedupe import concat_assets
+from tsalign.operators.profile import image_sample_report
 from tsalign.operators.split import chronological_split
 from tsalign.plans.registry import query
 from tsalign.plans.series_queries import _SPLIT
 from tsalign.plans.tables import BARS, DAILY, STAMP, bars, daily, load, stamp
 from tsalign.plans.text_queries import KINDS, PATTERNS, clean_sql
-from tsalign.sources import files, sinks, zipped
+from tsalign.sources import files, images, sinks, zipped
 
 
 def _place(spark: SparkSession, label: str) -> str:
@@ -309,3 +310,41 @@ def detected_posts(spark, folder):
     return load(spark, folder, "conversations").select(
         "conv_id", "turn", asset_list(combine_post_text(title, text), PATTERNS).alias("assets")
     )
+
+
+@query(
+    "image_report_files",
+    """WITH one AS (SELECT upper('src' || (page_id % 7)) AS asset, html IS NOT NULL AND length(html) % 5 <> 0 AS valid,
+    1 + length(html) % 3 AS w FROM pages),
+sizes AS (SELECT asset, w, count(*) AS n FROM one WHERE valid GROUP BY 1, 2),
+top AS (SELECT asset, count(*) AS resolutions, arg_max(w || 'x64', (n, -w)) AS dominant FROM sizes GROUP BY 1)
+SELECT asset, count(*) AS n_rows, count(*) FILTER (valid) AS n_valid, count(*) - count(*) FILTER (valid) AS n_invalid,
+  coalesce(any_value(resolutions), 0) AS resolutions, any_value(dominant) AS dominant, round(100.0 * count(*) FILTER (valid) / count(*), 6) AS coverage_pct
+FROM one LEFT JOIN top USING (asset) GROUP BY asset""",
+)
+def image_report_files(spark, folder):
+    """An image file for each page, sized by its length, every fifth length cut short; the report comes from the files."""
+    place = _place(spark, "images")
+    pages = load(spark, folder, "pages").select("page_id", F.length("html").alias("n"))
+
+    def draw(batches):
+        import pyarrow as pa
+
+        system, root = zipped.located(place)
+        for batch in batches:
+            for page_id, n in zip(batch.column("page_id").to_pylist(), batch.column("n").to_pylist()):
+                name = f"{root}/src{page_id % 7}"
+                system.create_dir(name)
+                data = images.png_header(1 + (n or 0) % 3, 64)
+                with system.open_output_stream(f"{name}/{page_id}.png") as out:
+                    out.write(data if n is not None and n % 5 else data[:20])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    pages.mapInArrow(draw, "n long").agg(F.sum("n")).collect()
+    expected = pages.select(F.concat(F.lit("SRC"), (F.col("page_id") % 7).cast("string")).alias("asset"), F.col("page_id").alias("unix_ts"))
+    covered = images.image_coverage(expected, images.read_image_sizes(spark, place), ["asset", "unix_ts"])
+    out = image_sample_report(covered, "path", "width", "height", ["asset"])
+    return out.select(
+        "asset", F.col("rows").alias("n_rows"), F.col("valid").alias("n_valid"), F.col("invalid").alias("n_invalid"), "resolutions", "dominant",
+        F.round("coverage_pct", 6).alias("coverage_pct"),
+    )

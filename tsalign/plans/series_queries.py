@@ -9,7 +9,7 @@ from tsalign.operators.chunk import grid_index, row_index
 from tsalign.operators.durable import durable
 from tsalign.operators.indicators import Ema, ema, indicators, lag_features, macd, rolling_mean, rsi, sma
 from tsalign.operators.label import forward_return, pct_change, return_1h, rolling_vol, target_score
-from tsalign.operators.split import batches, chronological_split, embargo_audit, label_split
+from tsalign.operators.split import batches, chronological_split, embargo_audit, epoch_batches, label_split, round_keys
 from tsalign.operators.windows import (
     candle_windows,
     flatten_window,
@@ -316,6 +316,29 @@ def batches_shuffled(spark, folder):
     return batches(predictions(spark, folder).select("idx"), "idx", 128, drop_last=True, seed=42)
 
 
+def _shuffled_place(epoch):
+    keys = ", ".join(f"{{'x': 0::BIGINT, 'k': {k}::BIGINT, 'a': {a}::BIGINT, 'b': {b}::BIGINT, 'c': {c}::BIGINT}}" for k, a, b, c in round_keys(42, epoch))
+    mirror, prime = "((r.k % n + n - s.x) % n)", 2**31 - 1
+    z = f"((greatest(s.x, {mirror}) % {prime} * r.a + r.b) % {prime})"
+    step = f"{{'x': CASE WHEN ((({z} * {z} + r.c) % {prime}) >> 16) % 2 = 1 THEN {mirror} ELSE s.x END, 'k': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT}}"
+    first = "{'x': spot, 'k': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT}"
+    return f"list_reduce(list_concat([{first}], [{keys}]), lambda s, r: {step}).x"
+
+
+@query(
+    "epoch_batches",
+    f"""WITH {PREDICTIONS},
+numbered AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS spot, count(*) OVER () AS n FROM pred),
+placed AS ({" UNION ALL ".join(f"SELECT {e} AS epoch, idx, n, {_shuffled_place(e)} AS place FROM numbered" for e in (0, 1))})
+SELECT epoch, idx, CAST(place // 128 AS BIGINT) AS batch_idx, CAST(place % 128 AS INTEGER) AS in_batch FROM placed WHERE place // 128 < n // 128""",
+)
+def epoch_batches_query(spark, folder):
+    """Two epochs of shuffled batches over one index."""
+    indexed = durable(row_index(predictions(spark, folder).select("idx"), [], ["idx"], "at", total="n"), "indexed")
+    epochs = [epoch_batches(indexed, "at", "n", 128, epoch).select(F.lit(epoch).alias("epoch"), "idx", "batch_idx", "in_batch") for epoch in (0, 1)]
+    return epochs[0].unionByName(epochs[1])
+
+
 # --- indicators -------------------------------------------------------------
 
 

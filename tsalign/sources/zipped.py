@@ -32,7 +32,7 @@ BLOCK, LISTED = 1 << 20, 16
 _BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, pa.ArrowInvalid, NotImplementedError, RuntimeError, UnicodeDecodeError)
 
 
-def _located(uri: str) -> tuple[pa.fs.FileSystem, str]:
+def located(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system and the path in it; Hadoop's ``file:/x`` is ``file:///x``."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
@@ -55,7 +55,7 @@ class ZippedReader(DataSourceReader):
         self.archives, self.members = options.get("archives", "*.zip").split("|"), options.get("members", "*.csv")
 
     def partitions(self) -> Sequence[Member]:
-        system, root = _located(self.folder)
+        system, root = located(self.folder)
         files = system.get_file_info(pa.fs.FileSelector(root, recursive=True, allow_not_found=True))
         below = {f.path: f.path[len(root) :].lstrip("/") for f in files if f.type == pa.fs.FileType.File}
         paths = sorted(p for p, name in below.items() if any(fnmatchcase(name, a) for a in self.archives))
@@ -73,7 +73,7 @@ class ZippedReader(DataSourceReader):
     def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        system, _ = _located(self.folder)
+        system, _ = located(self.folder)
         wanted = [c for c in self.asked if c in self.columns]
         line = 0
         try:
@@ -153,7 +153,7 @@ def write_zipped(df: DataFrame, folder: str, keys: Sequence[str], name: str, col
     """
 
     def write(group: pd.DataFrame) -> pd.DataFrame:
-        system, root = _located(folder)
+        system, root = located(folder)
         label = name.format(*[group[k].iloc[0] for k in keys])
         text = group.sort_values(order, kind="stable")[list(columns)].to_csv(index=False, header=False)
         packed = BytesIO()
