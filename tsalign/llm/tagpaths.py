@@ -1,22 +1,31 @@
 """Main text of web pages by tag-path ratios.
 
-A text node's path is the chain of open elements from the root. Per path the
-nodes' text length and punctuation are totalled; each node takes its path's mean
-length and mean punctuation; both sequences are smoothed along the page, fused
-as a product, and paths whose fused mean reaches a share of the page's spread
-are content. The smallest sectioning element that holds them is the article;
-its text is returned, block by block.
-
-Elements that are never main text (menus, headers and footers of the page,
-sidebars, notices, adverts, forms, scripts, styles, comments) are known by their
-tag, role, class or id and take no part. Inside an ``article`` or ``main`` a
-``header`` is a heading and stays.
-
-Defined results: NULL, empty and text-free pages give the empty text; unclosed,
-crossed and stray tags are closed as browsers do for paragraphs, items, rows and
-cells; ties between paths are both content; repeated rows get equal answers;
-other columns are ignored; an empty table gives an empty table. Work and memory
-are linear in the page.
+A block is the text of one block-level element between two block-level tags; its
+path is the chain of block-level elements from the root. Per path the blocks' text
+outside links and their punctuation are totalled; each block takes its path's means;
+both sequences are smoothed along the page, fused as a product, and lessened by
+the share of the path's text that lies in links. Paths whose fused ratio reaches a
+share of the page's spread are content: their blocks are the main text, with the
+other blocks (headings, short paragraphs, lists, tables) that stand in the same
+container, unless their path is mostly links. Where a page has an ``article`` or
+``main`` element, that element settles what the ratios leave open: its blocks are
+the main text but for paths of links.
+
+Some elements hold no main text whatever their ratios. By tag: menus, the page's
+footer, sidebars, scripts, styles. Headers and forms, and what a role, class or id
+names (adverts, notices, comments, shares, …), are only suspected. A suspected
+element stays out unless it holds the page's article, or most of the text of the
+page or article it is in and no comments; where nothing else is left, those stay
+whose mark is only part of a longer class name. An ``article`` or ``main`` element
+is no comment unless a whole class name says so. Inside them a ``header`` is a
+heading and stays.
+
+Defined results: NULL, empty and text-free pages give the empty text; a page whose
+text lies in links alone, outside menus, gives that text; unclosed, crossed and
+stray tags are closed as browsers do for paragraphs, items, rows and cells; ties
+between paths are both content; repeated rows get equal answers; other columns are
+ignored; an empty table gives an empty table. Paths are numbered with a link to
+their parent, so pages may be of any depth; work and memory are linear in the page.
 """
 
 from __future__ import annotations
@@ -24,6 +33,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +42,14 @@ from pyspark.sql import functions as F
 
 from tsalign.llm.common import whole_texts
 
-#: A path is content if its fused ratio is at least this many standard deviations of the page's nodes.
+#: A path is content if its fused ratio is at least this many standard deviations of the page's blocks.
 SPREAD = 0.5
-#: Weights of a node and its neighbours on either side.
+#: Weights of a block and its neighbours on either side.
 KERNEL = (0.25, 0.5, 0.25)
+#: Share of a path's text in links from which it is a list of links.
+LINKS = 0.6
+#: Share of the text from which a suspected element is the page's body after all.
+MOST = 0.8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes")
@@ -57,7 +71,10 @@ _P_BOUND = frozenset("article aside blockquote body button div figure footer for
 _P_ENDS = _BLOCK - frozenset("br head html body caption tbody td tfoot th thead tr li dd dt option".split())
 _SECTION = frozenset("article main section div body td html".split())
 
-_NEVER = frozenset("nav aside footer form dialog button select menu label object audio video canvas applet head header".split())
+#: What stands in a container of text.
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption address hr center details summary".split())
+_NEVER = frozenset("nav aside footer button select menu audio video canvas applet head".split())
+_DOUBTED = frozenset("form dialog label object header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tablist".split())
 _MARKED = re.compile(
     r"(?:^|\s|(?<!\bhas)(?<!\bwith)(?<!\bno)[_\-])(ads?|adverts?|advertisements?|adsense|adslot|adbox|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|side-?bar|nav(?:bar|igation)?|menu|"
@@ -78,119 +95,203 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 
 
-def _boilerplate(name: str, rest: str, stack: list[tuple[str, bool, int]]) -> bool:
-    """Whether an element can hold no main text."""
-    if name in _NEVER and not (name == "header" and any(n in ("article", "main") for n, _, _ in stack)):
-        return True
-    if "=" not in rest:
-        return False
+#: Marks of what readers wrote.
+_COMMENT = frozenset("comment comments commentlist disqus reply replies respond".split())
+_LIVE, _SUSPECT, _DEAD = 0, 1, 2
+
+
+class _Element:
+    __slots__ = ("name", "parent", "state", "weak", "comment", "path", "article", "main", "linked", "holder", "size", "free", "largest", "lenient")
+
+    def __init__(self, name: str, parent: _Element | None):
+        self.name, self.parent, self.state, self.weak, self.comment = name, parent, _LIVE, False, False
+        self.article = name == "article" or bool(parent and parent.article)
+        self.main = name == "main" or bool(parent and parent.main)
+        self.linked = name == "a" or bool(parent and parent.linked)
+        #: The container of the text: the nearest block that does not itself stand in one.
+        self.holder = self if parent is None or name in _BLOCK and name not in _FLOW else parent.holder
+        self.path, self.size, self.free, self.largest, self.lenient = 0, 0, 0, None, False
+
+
+def _judge(element: _Element, rest: str) -> None:
+    """Mark an element that holds no main text, or is suspected of it."""
+    name, inside = element.name, element.parent.article or element.parent.main
+    if name in _NEVER:
+        element.state = _DEAD
+    elif name in _DOUBTED and not (name == "header" and inside):
+        element.state, element.weak = _SUSPECT, name == "form"
+    if "=" not in rest or element.state == _DEAD:
+        return
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-    if values.get("role", "").lower() in _ROLES or values.get("aria-hidden", "").lower() == "true":
-        return True
-    if _HIDDEN.search(values.get("style", "")):
-        return True
-    if name in ("main", "body", "html"):
-        return False
-    inside = name == "article" or any(n in ("article", "main") for n, _, _ in stack)
-    return any(
-        m.lower() not in _HEADINGS or not inside for key in ("class", "id") for m in _MARKED.findall(values.get(key, ""))
-    )
+    if values.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(values.get("style", "")):
+        element.state = _DEAD
+        return
+    if values.get("role", "").lower() in _ROLES:
+        element.state = _SUSPECT
+    names = f"{values.get('class', '')} {values.get('id', '')}".lower()
+    if name in ("article", "main"):
+        element.comment = name == "article" and not _COMMENT.isdisjoint(names.split())
+        if element.comment:
+            element.state = _SUSPECT
+    elif element.state == _LIVE and name not in ("body", "html"):
+        marks = {m.lower() for m in _MARKED.findall(names)}
+        marks = marks - _HEADINGS if inside else marks
+        if marks:
+            element.state, element.weak = _SUSPECT, marks.isdisjoint(names.split())
+            element.comment = not _COMMENT.isdisjoint(marks)
 
 
 class _Page:
-    """Text nodes of one page: path, block number, the elements that hold them, and text."""
+    """Elements of one page, each after its parent, and text nodes ``(element, block number, text)``."""
 
     def __init__(self, page: str):
-        self.names, self.parents, self.nodes = ["#root"], [-1], []
-        self.block = 0
-        stack: list[tuple[str, bool, int]] = []
+        self.root = _Element("#root", None)
+        self.elements, self.nodes, self.block = [self.root], [], 0
+        #: Open elements, and where the open ones of each name stand.
+        self.stack, self.open = [self.root], {}
+        self.paths: dict[tuple[int, str], int] = {}
         at = 0
         while at < len(page):
             found = _TAG.search(page, at)
             if found is None:
-                self._text(page[at:], stack)
+                self._text(page[at:])
                 break
             if found.start() > at:
-                self._text(page[at : found.start()], stack)
+                self._text(page[at : found.start()])
             at = found.end()
             name = found["name"]
             if name is None:
                 if found[0].startswith("<![CDATA["):
-                    self._text(html.escape(found[0][9:].removesuffix("]]>"), quote=False), stack)
+                    self._text(html.escape(found[0][9:].removesuffix("]]>"), quote=False))
                 continue
             name = name.lower()
             if name in _BLOCK:
                 self.block += 1
             if found["end"]:
-                self._close(name, stack)
+                self._close(name)
                 continue
             if name in _RAW:
                 if not found["rest"].endswith("/>") or name != "svg":
-                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    end = _raw_end(name).search(page, at)
                     at = end.end() if end else len(page)
                 continue
-            self._imply(name, stack)
-            if name in _VOID or name == "br":
+            self._imply(name)
+            if name in _VOID:
                 continue
-            dead = bool(stack and stack[-1][1]) or _boilerplate(name, found["rest"], stack)
-            self.names.append(name)
-            self.parents.append(stack[-1][2] if stack else 0)
-            stack.append((name, dead, len(self.names) - 1))
-
-    def _text(self, text: str, stack) -> None:
-        if (stack and stack[-1][1]) or not text:
-            return
-        self.nodes.append((stack[-1][2] if stack else 0, self.block, html.unescape(text)))
-
-    @staticmethod
-    def _close(name: str, stack) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                return
-            if stack[i][0] in ("td", "th", "table", "article", "main", "body") and name not in _SECTION and name not in ("table", "tr", "tbody"):
-                return
-
-    @staticmethod
-    def _imply(name: str, stack) -> None:
+            self._push(name, found["rest"])
+
+    def _push(self, name: str, rest: str) -> None:
+        above = self.stack[-1]
+        element = _Element(name, above)
+        _judge(element, rest)
+        element.path = self.paths.setdefault((above.path, name), len(self.paths) + 1) if name in _BLOCK else above.path
+        self.elements.append(element)
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def _cut(self, place: int) -> None:
+        """Close the open elements from ``place`` on."""
+        while len(self.stack) > place:
+            self.open[self.stack.pop().name].pop()
+
+    def _last(self, names) -> int:
+        """Where the innermost open element of these names stands; 0 if there is none."""
+        return max((places[-1] for n in names if (places := self.open.get(n))), default=0)
+
+    def _text(self, text: str) -> None:
+        if text:
+            self.nodes.append((self.stack[-1], self.block, html.unescape(text)))
+
+    def _close(self, name: str) -> None:
+        place = self._last((name,))
+        if place and (name in _SECTION or name in ("table", "tr", "tbody") or place >= self._last(_WALLS)):
+            self._cut(place)
+
+    def _imply(self, name: str) -> None:
         """Close what ``name`` cannot stand in."""
-        if name in _P_ENDS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in _P_BOUND:
-                    break
+        if name in _P_ENDS and (place := self._last(("p",))) > self._last(_P_BOUND):
+            self._cut(place)
         names, bounds = _CLOSES.get(name, ((), ()))
-        if names:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in names:
-                    del stack[i:]
-                    break
-                if stack[i][0] in bounds:
-                    break
-
-
-def _content_paths(paths: list[str], lengths: list[int], marks: list[int]) -> set[str]:
-    """The paths whose smoothed, fused ratios reach the threshold."""
-    total: dict[str, list[int]] = {}
-    for path, n, m in zip(paths, lengths, marks):
-        t = total.setdefault(path, [0, 0, 0])
-        t[0] += n
-        t[1] += m
-        t[2] += 1
-    ratio = np.array([[total[p][0] / total[p][2], 1 + total[p][1] / total[p][2]] for p in paths], dtype=float)
+        if names and (place := self._last(names)) > self._last(bounds):
+            self._cut(place)
+
+
+_WALLS = ("td", "th", "table", "article", "main", "body")
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
+def _settle(page: _Page) -> None:
+    """Decide about the suspected elements; what lies below a dead one is dead."""
+    elements = page.elements
+    for element, _, text in page.nodes:
+        element.size += len(text) - text.count(" ")
+    clear = {page.root}
+    for e in elements[1:]:
+        if e.parent.state == _DEAD:
+            e.state = _DEAD
+        if e.state == _LIVE and e.parent in clear:
+            clear.add(e)
+    for e in reversed(elements):
+        if e.state == _DEAD:
+            e.size = e.free = 0
+            continue
+        e.free += e.size if e.largest is None else 0
+        own = e.parent
+        if own is not None and own.state != _DEAD:
+            if own.largest is None:
+                own.free += own.size
+                own.largest = e
+            elif e.size > own.largest.size:
+                own.largest = e
+            own.size += e.size
+            own.free += e.free if e.state == _LIVE else 0
+    homes = [e for e in elements if e.name in ("article", "main") and e.state != _DEAD and e.size and not e.comment]
+    scopes = [e for e in homes if e in clear]
+    if homes and not scopes:
+        # all stand in suspected elements: those around the one with most text are none
+        scopes = [max(homes, key=lambda e: e.size)]
+        around = scopes[0]
+        while around is not None:
+            around.state, around = _LIVE, around.parent
+    for scope in scopes or [page.root]:
+        if scope.free < (1 - MOST) * scope.size:
+            inner, rescued = scope.largest, False
+            while inner is not None and inner.size >= MOST * scope.size and not inner.comment:
+                rescued = rescued or inner.state == _SUSPECT
+                inner.state, inner = _LIVE, inner.largest
+            scope.lenient = scope.free == 0 and not rescued
+    for e in elements[1:]:
+        e.lenient = e.lenient or e.parent.lenient
+        if e.state == _SUSPECT:
+            e.state = _LIVE if e.lenient and e.weak and not e.comment else _DEAD
+        if e.parent.state == _DEAD:
+            e.state = _DEAD
+
+
+def _content_paths(paths: list[int], lengths: list[int], marks: list[int], links: list[int]) -> tuple[set[int], set[int]]:
+    """The paths whose smoothed, fused ratios reach the threshold, and those that are mostly links."""
+    total: dict[int, list[int]] = {}
+    for path, *counts in zip(paths, lengths, marks, links):
+        t = total.setdefault(path, [0, 0, 0, 0])
+        for i, c in enumerate((*counts, 1)):
+            t[i] += c
+    share = {p: link / max(n, 1) for p, (n, _, link, _) in total.items()}
+    ratio = np.array([[(total[p][0] - total[p][2]) / total[p][3], 1 + total[p][1] / total[p][3]] for p in paths], dtype=float)
     padded = np.pad(ratio, ((1, 1), (0, 0)), mode="edge")
     smooth = sum(w * padded[i : i + len(paths)] for i, w in enumerate(KERNEL))
-    fused = smooth[:, 0] * smooth[:, 1]
-    mean: dict[str, list[float]] = {}
-    for path, f in zip(paths, fused):
+    fused = smooth[:, 0] * smooth[:, 1] * np.array([1 - share[p] for p in paths])
+    mean: dict[int, list[float]] = {}
+    for path, f in zip(paths, fused.tolist()):
         s = mean.setdefault(path, [0.0, 0])
         s[0] += f
         s[1] += 1
     score = {p: s[0] / s[1] for p, s in mean.items()}
     bound = min(SPREAD * float(fused.std()), max(score.values()))
-    return {p for p, s in score.items() if s >= bound}
+    return {p for p, s in score.items() if s >= bound}, {p for p, s in share.items() if s >= LINKS}
 
 
 def main_text(page: str | None) -> str:
@@ -198,54 +299,37 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     parsed = _Page(page)
-    nodes = [(e, b, t) for e, b, t in parsed.nodes if t.strip()]
-    if not nodes:
+    _settle(parsed)
+    nodes = [n for n in parsed.nodes if n[0].state == _LIVE]
+    solid = [n for n in nodes if n[2].strip()]
+    for kind in ("article", "main"):
+        if any(getattr(e, kind) for e, _, _ in solid):
+            nodes = [n for n in nodes if getattr(n[0], kind)]
+            break
+    else:
+        kind = None
+    blocks: dict[int, list] = {}
+    for e, b, t in nodes:
+        block = blocks.setdefault(b, [None, [], 0])
+        if t.strip():
+            block[0] = block[0] or e
+            block[2] += len(" ".join(t.split())) if e.linked else 0
+        block[1].append(t)
+    found = [(e, " ".join("".join(parts).split()), link) for e, parts, link in blocks.values() if e is not None]
+    if not found:
         return ""
-    names, parents = parsed.names, parsed.parents
-    chains: dict[int, tuple[int, ...]] = {}
-
-    def chain(element: int) -> tuple[int, ...]:
-        """The elements from the root down to ``element``; without recursion, for deep pages."""
-        todo = []
-        while element not in chains and element > 0:
-            todo.append(element)
-            element = parents[element]
-        known = chains.get(element, (0,))
-        chains.setdefault(element, known)
-        for e in reversed(todo):
-            known = chains[e] = (*known, e) if len(known) < 200 else known
-        return known
-
-    # inside an article or main element, other parts of the page are out of the question
-    def within(kind: str) -> list:
-        return [x for x in nodes if any(names[i] == kind for i in chain(x[0]))]
-
-    kind = next((k for k in ("article", "main") if within(k)), None)
-    nodes = within(kind) if kind else nodes
-    paths = ["/".join(names[i] for i in chain(e)) for e, _, _ in nodes]
-    squeezed = [" ".join(t.split()) for _, _, t in nodes]
-    content = _content_paths(paths, [len(t) for t in squeezed], [len(_PUNCTUATION.findall(t)) for t in squeezed])
-    common: tuple[int, ...] | None = None
-    for (e, _, _), path in zip(nodes, paths):
-        if path in content:
-            c = chain(e)
-            if common is None:
-                common = c
-            else:
-                k = 0
-                while k < min(len(common), len(c)) and common[k] == c[k]:
-                    k += 1
-                common = common[:k]
-    root = next((i for i in reversed(common) if names[i] in _SECTION), 0)
-    # a lone division inside the article is not the whole of it
-    root = next((i for i in common if names[i] == kind), root)
-    blocks: dict[int, list[str]] = {}
-    for e, b, t in parsed.nodes:
-        c = chain(e)
-        if (root == 0 or root in c) and (kind is None or any(names[i] == kind for i in c)):
-            blocks.setdefault(b, []).append(t)
-    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return " ".join(t for t in joined if t)
+    paths, texts = [e.path for e, _, _ in found], [t for _, t, _ in found]
+    content, listed = _content_paths(paths, [len(t) for t in texts], [len(_PUNCTUATION.findall(t)) for t in texts], [link for _, _, link in found])
+    headings = {p for (_, name), p in parsed.paths.items() if name in ("h1", "h2", "h3", "h4", "h5", "h6")}
+    holders = {e.holder for e, _, _ in found if e.path in content and e.path not in headings} or {e.holder for e, _, _ in found if e.path in content}
+    near = [kind is not None or e.holder in holders for e, _, _ in found]
+    kept = [n and (p in content or p not in listed) for n, p in zip(near, paths)]
+    if any(k and p not in headings for k, p in zip(kept, paths)):
+        # a linked heading is a heading
+        kept = [k or n and p in headings for k, n, p in zip(kept, near, paths)]
+    else:
+        kept = near
+    return " ".join(t for k, t in zip(kept, texts) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
