@@ -54,6 +54,39 @@ def test_long_parts_agree_with_short_ones(monkeypatch):
         monkeypatch.setattr(P, "TOGETHER", 32)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_sidetracks_against_all_paths(small, monkeypatch):
+    model = own() if small else MODEL
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice("abcaabxé" if small else "thenig中") for _ in range(rng.randint(1, 12)))
+        plain = model.n_best(text, 6)
+        monkeypatch.setattr(P, "TOGETHER", 0)
+        assert model.n_best(text, 6) == plain
+        one = P.Encoder(model, 2)
+        monkeypatch.setattr(P, "TOGETHER", 32)
+        best, loss, ids = one._single(text)
+        assert (best, ids) == (plain[0][0], model.coded(plain[0][1], text))
+        assert loss == (plain[0][0] - plain[1][0] if len(plain) > 1 else float("inf"))
+
+
+def test_long_texts_without_blanks_take_linear_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "ab" * 30_000, "中文字" * 10_000):
+        tracemalloc.start()
+        begin = time.process_time()
+        ways = encode(MODEL, text, 3)
+        taken, (_, peak) = time.process_time() - begin, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert peak < 300e6 and taken < 60, (peak, taken)
+        scores = [s for s, _ in ways]
+        assert len(ways) == (1 if "中" in text else 3) == len({tuple(x) for _, x in ways}) and scores == sorted(scores, reverse=True)
+        assert all(P.decode_ids(MODEL, x) == text for _, x in ways)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_every_text_comes_back(text):

@@ -14,7 +14,8 @@ Characters without a piece of their own become the byte pieces of their UTF-8
 form, U+2581 in a text among them, so decoding restores every text exactly.
 
 Equal scores are settled by the shorter last piece, from the end backwards.
-Nothing is cut: texts and parts of any length are encoded whole. Tokenizers are
+Nothing is cut: texts and parts of any length are encoded whole, in memory and
+work that grow with the length. Tokenizers are
 read, never trained; the vocabulary's path is a parameter and its arrays, whose
 size the file bounds, go to the executors.
 
@@ -27,8 +28,10 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
+from functools import cmp_to_key
 from itertools import repeat
 
 import numpy as np
@@ -155,8 +158,30 @@ class Pieces:
                     best[end] = max(best[end], best[end - n] + s)
         return ends, best
 
+    def graph(self, part: str) -> Lattice:
+        """The same as arrays, for parts of any length."""
+        size = len(part)
+        letters = self.letter[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        found = np.full((size, min(self.longest, size)), _NONE, dtype=np.int32)
+        at, node = np.arange(size), np.zeros(size, dtype=np.int64)
+        for n in range(found.shape[1]):
+            keep = at < size - n
+            at, node = at[keep], node[keep]
+            letter = letters[at + n]
+            child = np.where(letter > 0, self._children(node * self.width + letter), 0)
+            at, node = at[child > 0], child[child > 0]
+            found[at, n] = self.node_id[node]
+        found[:, 0][found[:, 0] == _NONE] = _BYTES
+        start, n = np.nonzero(found != _NONE)
+        order = np.lexsort((n, start + n))
+        start, n = start[order], n[order]
+        ids = found[start, n]
+        return Lattice(size, start, start + n + 1, self.score[ids], ids)
+
     def n_best(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of one part, best first, by backward A*."""
+        if len(part) > TOGETHER:
+            return self.graph(part).sidetracks(n)
         ends, best = self.lattice(part)
         out = []
         # ties: the path whose last pieces are shorter comes first
@@ -171,6 +196,96 @@ class Pieces:
         return out
 
 
+class Lattice:
+    """Edges (pieces) in ascending order of their end and length, with forward scores and the best last piece of every place."""
+
+    def __init__(self, size: int, start: np.ndarray, end: np.ndarray, score: np.ndarray, ids: np.ndarray):
+        self.size, self.start, self.end, self.score, self.ids = size, start, end, score, ids
+        self.first = np.searchsorted(end, np.arange(size + 2))
+        best, back = np.full(size + 1, -np.inf), np.zeros(size + 1, dtype=np.int64)
+        best[0] = 0.0
+        # views, so that a step reads and writes plain numbers and no list of objects is kept
+        starts, scores, firsts, bests, backs = map(memoryview, (start, score, self.first, best, back))
+        for place in range(1, size + 1):
+            top, which = -math.inf, -1
+            for e in range(firsts[place], firsts[place + 1]):
+                value = bests[starts[e]] + scores[e]
+                if value > top:
+                    top, which = value, e
+            bests[place], backs[place] = top, which
+        self.best, self.back = best, back
+
+    def onward(self, place: int) -> list[int]:
+        """The edges of the best way from ``place`` back to the beginning."""
+        out, starts, backs = [], memoryview(self.start), memoryview(self.back)
+        while place:
+            out.append(backs[place])
+            place = starts[backs[place]]
+        return out
+
+    def loss(self, path: list[int]) -> float:
+        """What the best segmentation that is not ``path`` (the best one) loses against it."""
+        after = np.full(self.size + 1, -np.inf)
+        after[self.size] = 0.0
+        starts, ends, scores, afters = map(memoryview, (self.start, self.end, self.score, after))
+        for e in range(len(starts) - 1, -1, -1):
+            value = scores[e] + afters[ends[e]]
+            if value > afters[starts[e]]:
+                afters[starts[e]] = value
+        through = self.best[self.start] + self.score + after[self.end]
+        through[path] = -np.inf
+        return float(self.best[-1] - through.max())
+
+    def sidetracks(self, n: int) -> list[tuple[float, list[int]]]:
+        """The same A* for parts of any length.
+
+        Forward scores are exact, so from any place the search follows the best way
+        on without looking left or right; a queue entry is a whole way, and its
+        successors leave it once, at a later step. Of these only as many as are still
+        wanted can come up. Memory is ``n`` ways, work a pass over the lattice for each.
+        """
+        out: list[tuple[float, list[int]]] = []
+        queue = [(-float(self.best[-1]), self.onward(self.size), 0)]
+        while queue and len(out) < n:
+            least = min(q[0] for q in queue)
+            lead = min((q for q in queue if q[0] == least), key=cmp_to_key(self._sooner))
+            queue.remove(lead)
+            _, path, free = lead
+            edges = np.array(path)
+            reached = np.cumsum(self.score[edges])
+            out.append((float(reached[-1]), self.ids[edges[::-1]].tolist()))
+            wanted = n - len(out)
+            # every other edge into the places passed from step ``free`` on
+            steps = np.arange(free, len(edges))
+            into = self.end[edges[free:]]
+            counts = self.first[into + 1] - self.first[into]
+            step = np.repeat(steps, counts)
+            edge = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[into], counts)
+            other = edge != edges[step]
+            step, edge = step[other], edge[other]
+            before = np.concatenate([[0.0], reached])[step]
+            value = self.best[self.start[edge]] + (before + self.score[edge])
+            if not len(value) or not wanted:
+                continue
+            if len(value) > wanted:
+                few = np.flatnonzero(value >= np.partition(value, -wanted)[-wanted])
+                step, edge, value = step[few], edge[few], value[few]
+            # ties among ways that leave this one: shorter pieces first, the last piece counting most
+            shorter = self.start[edge] > self.start[edges[step]]
+            order = np.lexsort((-self.start[edge], np.where(shorter, step, -step), ~shorter, -value))[:wanted]
+            for i in order.tolist():
+                way = [*path[: step[i]], int(edge[i])]
+                queue.append((-float(value[i]), way + self.onward(int(self.start[edge[i]])), int(step[i]) + 1))
+        return out
+
+    def _sooner(self, one: tuple, other: tuple) -> int:
+        """Order of ways of equal score: the first different piece, from the end, decides."""
+        a, b = (self.end[q[1]] - self.start[q[1]] for q in (one, other))
+        k = min(len(a), len(b))
+        at = np.flatnonzero(a[:k] != b[:k])
+        return int(a[at[0]] - b[at[0]]) if len(at) else len(a) - len(b)
+
+
 class Encoder:
     """Parts that have been seen, with their best pieces, scores and the loss of their second best."""
 
@@ -239,20 +354,9 @@ class Encoder:
 
     def _single(self, part: str) -> tuple[float, float, list[int]]:
         """One part of any length: best score, loss of the second best, best pieces."""
-        ends, best = self.pieces.lattice(part)
-        size = len(part)
-        after = [-np.inf] * size + [0.0]
-        for end in range(size, 0, -1):
-            for start, s, _ in ends[end]:
-                after[start] = max(after[start], after[end] + s)
-        path, at, used = [], size, set()
-        while at:
-            start, _, i = next(x for x in ends[at] if best[x[0]] + x[1] == best[at])
-            path.append(i)
-            used.add((start, at))
-            at = start
-        other = max((best[a] + s + after[e] for e in range(1, size + 1) for a, s, _ in ends[e] if (a, e) not in used), default=-np.inf)
-        return best[-1], best[-1] - other, self.pieces.coded(path[::-1], part)
+        lattice = self.pieces.graph(part)
+        path = lattice.onward(lattice.size)
+        return float(lattice.best[-1]), lattice.loss(path), self.pieces.coded(lattice.ids[path[::-1]].tolist(), part)
 
     def _together(self, parts: list[str], size: int):
         """Parts of one length: pieces end to end, their counts, best scores and losses."""
