@@ -91,3 +91,19 @@ def test_long_texts_do_not_depend_on_the_block(spark, monkeypatch):
     monkeypatch.setattr(kn, "BLOCK", 1000)
     parts = list(kn._blocks([None, text, "x", ""]))
     assert sum(n for _, n in whole) == len(text) + 1 and sum(len(s) for _, s, _ in parts) == len(text) + 3
+
+
+def test_counts_handed_on_in_parts_add_up(spark, monkeypatch):
+    docs, _ = corpus()
+    texts = spark.createDataFrame([(t, i % 2 == 0) for i, (_, t, _) in enumerate(docs)], "text string, train boolean").coalesce(1)
+    whole = sorted(map(tuple, kn.count_grams(texts).collect()))
+    batches = [b for b in texts.toArrow().to_batches()]
+    monkeypatch.setattr(kn, "BLOCK", 300)
+    monkeypatch.setattr(kn, "GATHERED", 200)
+    parts = list(kn._count(iter(batches)))
+    sums = {}
+    for part in parts:
+        assert part.num_rows <= 200 + 2 * (300 + kn.ORDER)
+        for k, g, c in zip(*(part.column(n).to_pylist() for n in ("key", "g", "c"))):
+            sums[k, g] = sums.get((k, g), 0) + c
+    assert len(parts) > 3 and sorted((*k, c) for k, c in sums.items()) == whole

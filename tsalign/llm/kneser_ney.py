@@ -48,6 +48,8 @@ FOLDS = 5
 SPREADS, TOLERANCE = 4.0, 1.0
 #: Held-out texts of unlike perplexity from which a language has a threshold of its own.
 LEAST = 20
+#: Distinct 5-grams that a task gathers before it hands on their counts.
+GATHERED = 4_000_000
 #: Rows of a shard, shards between two writes, and characters handled at once.
 SHARD, SHARDS_AT_ONCE, BLOCK = 4_000_000, 8, 500_000
 
@@ -100,7 +102,7 @@ def _keys(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class _Counts:
-    """5-grams with trusted counts; distinct ones are merged now and then, so memory follows the distinct ones."""
+    """5-grams with trusted counts; distinct ones are merged now and then, and handed on when there are too many."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -120,6 +122,22 @@ class _Counts:
         self.parts = [(unique, np.bincount(codes, counts, len(unique)).astype(np.int64), grams[first])]
         self.size = len(unique)
 
+    def handed_on(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        self.merge()
+        keys, counts, grams = self.parts[0]
+        for at in range(0, len(keys), 100_000):
+            part = np.ascontiguousarray(grams[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys[at : at + 100_000].view(np.int64)),
+                    pa.array(part.view(f"<U{ORDER}").ravel().tolist(), pa.string()),
+                    pa.array(counts[at : at + 100_000]),
+                ],
+                ["key", "g", "c"],
+            )
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = _Counts()
@@ -131,19 +149,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[slot[::-1]] = starts[::-1]
             counts = np.bincount(slot, trusted[owner], len(unique)).astype(np.int64)
             kept.add(unique, counts, codes[first[:, None] + np.arange(ORDER)])
-    if kept.parts:
-        kept.merge()
-        keys, counts, grams = kept.parts[0]
-        for at in range(0, len(keys), 100_000):
-            part = np.ascontiguousarray(grams[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[at : at + 100_000].view(np.int64)),
-                    pa.array(part.view(f"<U{ORDER}").ravel().tolist(), pa.string()),
-                    pa.array(counts[at : at + 100_000]),
-                ],
-                ["key", "g", "c"],
-            )
+            if kept.size > GATHERED:
+                # the aggregate behind adds them up with what is still to come
+                yield from kept.handed_on()
+                kept = _Counts()
+    yield from kept.handed_on()
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
