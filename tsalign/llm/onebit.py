@@ -10,9 +10,9 @@ the query's tenth best distance so far are compared exactly, on the original
 vectors in double precision.
 
 The centres are fitted on a bounded sample (``SAMPLE`` rows with the smallest id
-hashes); every vector is indexed. Index blocks are made where the rows are read,
-without a shuffle; queries travel to them in blocks, a bounded set of blocks at
-a time. Each task returns at most ``k`` rows per query, so no query's candidates
+hashes); every vector is indexed, once. Index blocks are made where the rows are
+read, without a shuffle; queries travel to them in blocks, a bounded set of blocks
+at a time, and skip a block whose cell is farther than what they already found. Each task returns at most ``k`` rows per query, so no query's candidates
 ever meet in one place.
 
 Defined results: vectors that are NULL, zero, or hold NULL or non-finite
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsalign.operators.chunk import row_index
 from tsalign.operators.durable import durable
 
 #: Cells, rows that fit their centres, rows of an index block and of a query block.
@@ -90,7 +91,7 @@ def bounds(q: np.ndarray, code: np.ndarray, far: np.ndarray, own: np.ndarray, ce
     return squared - 2 * far * (inner + error), squared - 2 * far * (inner - error)
 
 
-_BLOCK_SCHEMA = "part int, cell int, ids binary, codes binary, scalars binary, vectors binary"
+_BLOCK_SCHEMA = "cell int, ids binary, codes binary, scalars binary, vectors binary"
 
 
 def _matrix(column) -> np.ndarray:
@@ -98,8 +99,8 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _index(middle, turn, part):
-    """Rows of a task to blocks of one cell each, marked with the set of queries they are to meet."""
+def _index(middle, turn):
+    """Rows of a task to blocks of one cell each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +114,9 @@ def _index(middle, turn, part):
                 for at in range(0, len(rows), BLOCK):
                     few = rows[at : at + BLOCK]
                     code, far, own = encode(x[few], middle[c], turn)
-                    out.append((part, int(c), ids[few].tobytes(), code.tobytes(), np.stack([far, own]).tobytes(), x[few].tobytes()))
+                    out.append((int(c), ids[few].tobytes(), code.tobytes(), np.stack([far, own]).tobytes(), x[few].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], _BLOCK_SCHEMA.replace(",", "").split()[::2]
+                [pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], _BLOCK_SCHEMA.replace(",", "").split()[::2]
             )
 
     return run
@@ -140,6 +141,13 @@ def _search(middle, turn, k):
                 code = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 far, own = np.frombuffer(row["scalars"]).reshape(2, -1)
                 names, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, d)
+                # no vector of the block is nearer than its cell's centre less the block's radius
+                nearest = np.sqrt(((q - middle[row["cell"]]) ** 2).sum(axis=1)) - far.max() * (1 + 1e-9)
+                last = np.array([have[1][-1] if (have := kept.get(n)) is not None and len(have[0]) == k else np.inf for n in names.tolist()])
+                open_ = np.flatnonzero(nearest <= last * (1 + 1e-9))
+                if not len(open_):
+                    continue
+                names, q = names[open_], q[open_]
                 low, high = bounds(q, code, far, own, middle[row["cell"]], turn)
                 for i, name in enumerate(names.tolist()):
                     own_id = ids == name
@@ -199,17 +207,16 @@ def neighbours(
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
     middle, turn = centres(_matrix(fitted.column("vector").combine_chunks())), rotation(d)
     queries = rows.where("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    total = queries.count()
-    parts = max(1, -(-total * d * 8 // QUERY_BYTES))
-    size = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    queries = durable(queries.withColumn("part", size), "queries")
+    per_part = max(1, QUERY_BYTES // (8 * d + 8))
+    queries = row_index(queries, [], ["vec_id"], "number")
+    queries = durable(queries.select("vec_id", "vector", F.floor(F.col("number") / per_part).cast("int").alias("part")), "queries")
+    parts = (queries.agg(F.max("part")).first()[0] or 0) + 1
+    index = durable(rows.select("vec_id", "vector").mapInArrow(_index(middle, turn), _BLOCK_SCHEMA), "codes")
     found = None
     for part in range(parts):
-        asked = queries.where(F.col("part") == part).coalesce(max(1, total // parts // QUERIES))
-        asked = asked.mapInArrow(_query_blocks, "part int, q_ids binary, q_vectors binary")
-        # a bounded set of query blocks goes to every index block
-        index = rows.select("vec_id", "vector").mapInArrow(_index(middle, turn, part), _BLOCK_SCHEMA)
-        pairs = index.join(F.broadcast(asked), "part")
+        asked = queries.where(F.col("part") == part).coalesce(1).mapInArrow(_query_blocks, "part int, q_ids binary, q_vectors binary")
+        # at most QUERY_BYTES of queries go to every index block: parts are cut by their row number
+        pairs = index.withColumn("part", F.lit(part)).join(F.broadcast(asked), "part")
         near = pairs.drop("part").mapInArrow(_search(middle, turn, k), schema)
         found = near if found is None else found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
