@@ -46,6 +46,8 @@ REVISIT_BYTES = 100
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 64_000_000, 50_000
 #: Bytes read at once where ranges touch.
 READ_BYTES = 8_000_000
+#: Bytes of records that one task reads at most.
+TASK_BYTES = 64_000_000
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f%<>]")
@@ -266,7 +268,8 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def locate(archives: DataFrame) -> DataFrame:
     """``path, start, length``: the byte range of every record in the archives of ``archives`` (``path``)."""
-    spread = archives.select("path").repartition("path")
+    tasks = min(archives.count(), 4 * archives.sparkSession.sparkContext.defaultParallelism)
+    spread = archives.select("path").repartition(max(tasks, 1), "path")
     return spread.mapInArrow(_locate, "path string, start long, length long")
 
 
@@ -301,7 +304,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(ranges: DataFrame) -> DataFrame:
     """The records at ``ranges`` (``path, start, length``): id, type, URL, referred id, declared digest and payload."""
-    spread = ranges.repartitionByRange("path", "start").sortWithinPartitions("path", "start")
+    ranges = durable(ranges, "ranges")
+    total = ranges.agg(F.sum("length")).first()[0] or 0
+    # a stated number of tasks, by bytes: the table of ranges is so small that it would end in one
+    parts = max(-(-total // TASK_BYTES), min(-(-total // (1 << 20)), ranges.sparkSession.sparkContext.defaultParallelism), 1)
+    spread = ranges.repartitionByRange(int(parts), "path", "start").sortWithinPartitions("path", "start")
     schema = "record_id string, record_type string, url string, refers_to string, declared string, payload binary"
     return whole_texts(spread).mapInArrow(_read, schema)
 
