@@ -46,6 +46,18 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(other, match, how).drop(*named.values())
 
 
+def outer_join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join on ``keys``, where NULL matches NULL; each key once, then the other columns of both sides."""
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(c).alias(named.get(c, c)) for c in right.columns])
+    match = F.lit(True)
+    for k, n in named.items():
+        match = match & F.col(k).eqNullSafe(F.col(n))
+    one = [F.coalesce(k, n).alias(k) for k, n in named.items()]
+    rest = [c for side in (left, right) for c in side.columns if c not in named]
+    return left.join(other, match, "full_outer").select(*one, *rest)
+
+
 def earlier(by: Sequence[str], on: str) -> WindowSpec:
     """All earlier rows of a table of chunks or partitions; never used on the data itself."""
     return Window.partitionBy(*by).orderBy(on).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.operators.chunk import outer_join_keys
+
 
 def left_join_on_time(left: DataFrame, right: DataFrame, on: str | Sequence[str] = "timestamp") -> DataFrame:
     """Plain left join: a repeated right stamp repeats the left row."""
@@ -46,7 +48,7 @@ def compare_to_claims(
     A claim about something that is not there stays and is not ok.
     """
     gap = F.col("actual") - F.col("claimed")
-    return actual.join(claims, list(keys), "full_outer").withColumns(
+    return outer_join_keys(actual, claims, keys).withColumns(
         {"difference": gap, "ok": F.coalesce(F.abs(gap) < F.lit(tolerance), F.lit(False))}
     )
 
@@ -65,7 +67,7 @@ def zip_modalities(
     tagged = [t.withColumn(m, F.lit(True)) for t, m in zip(tables, marks)]
     glued = tagged[0]
     for other in tagged[1:]:
-        glued = glued.join(other, list(keys), "full_outer")
+        glued = outer_join_keys(glued, other, keys)
     if missing == "error":
         whole = F.lit(True)
         for m in marks:
@@ -80,7 +82,7 @@ def modality_counts_match(tables: Sequence[DataFrame], keys: Sequence[str] = ("a
     counts = None
     for i, table in enumerate(tables):
         one = table.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"rows_{i}"))
-        counts = one if counts is None else counts.join(one, list(keys), "full_outer")
+        counts = one if counts is None else outer_join_keys(counts, one, keys)
     names = [f"rows_{i}" for i in range(len(tables))]
     counts = counts.na.fill(0, names)
     same = F.lit(True)

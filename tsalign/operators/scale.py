@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsalign.operators.chunk import join_keys
 from tsalign.operators.durable import durable
 from tsalign.operators.quantile import quantiles
 
@@ -50,7 +51,7 @@ def apply_scaler(
     Spark broadcasts them when their files are below its threshold.
     """
     if by:
-        joined = df.join(durable(stats, "scaler"), list(by), "left")
+        joined = join_keys(df, durable(stats, "scaler"), by, "left")
         out = joined.withColumns(
             {f"{c}{suffix}": scaled(F.col(c), F.col(f"{c}_center"), F.col(f"{c}_scale")) for c in cols}
         )

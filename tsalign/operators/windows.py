@@ -85,7 +85,7 @@ def null_context(df: DataFrame, by: Sequence[str], pos: str, col: str, k: int =
     nulls = df.where(F.col(col).isNull())
     if by:
         firsts = durable(nulls.groupBy(*by).agg(F.min(pos).alias("_first")), "firsts")
-        near = df.join(firsts, list(by)).where(F.abs(F.col(pos) - F.col("_first")) <= k).drop("_first")
+        near = join_keys(df, firsts, by).where(F.abs(F.col(pos) - F.col("_first")) <= k).drop("_first")
     else:
         near = df.where(F.abs(F.col(pos) - nulls.agg(F.min(pos)).scalar()) <= k)
     return near.withColumn("is_null", F.col(col).isNull())

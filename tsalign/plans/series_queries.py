@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from tsalign.operators.asof import asof_backward, clip_to_range_of
 from tsalign.operators.chunk import grid_index, row_index
 from tsalign.operators.durable import durable
+from tsalign.operators.density import density
 from tsalign.operators.indicators import Ema, ema, indicators, lag_features, macd, rolling_mean, rsi, sma
+from tsalign.operators.islands import cascades
 from tsalign.operators.label import forward_return, pct_change, return_1h, rolling_vol, target_score
+from tsalign.operators.scale import apply_scaler, fit_standard
 from tsalign.operators.split import batches, chronological_split, embargo_audit, epoch_batches, label_split, round_keys
 from tsalign.operators.windows import (
     candle_windows,
@@ -32,6 +35,7 @@ from tsalign.plans.tables import (
     SPLIT_CASE,
     STAMP,
     bars,
+    daily,
     indexed_bars,
     indexed_daily,
     load,
@@ -593,6 +597,67 @@ def null_context_query(spark, folder):
     return null_context(_holed(spark, folder), KEY, "row_idx", "close")
 
 
+_NULL_KEY = "nullif(asset, '2-HIGH')"
+
+
+@query(
+    "null_context_nulls",
+    f"""WITH {_HOLED},
+named AS (SELECT {_NULL_KEY} AS asset, row_idx, close FROM holed),
+firsts AS (SELECT asset, min(row_idx) AS f FROM named WHERE close IS NULL GROUP BY 1)
+SELECT n.asset, row_idx, close, close IS NULL AS is_null FROM named n JOIN firsts q ON n.asset IS NOT DISTINCT FROM q.asset WHERE abs(row_idx - f) <= 2""",
+)
+def null_context_nulls(spark, folder):
+    """One of the series has no name."""
+    named = _holed(spark, folder).withColumn("asset", F.expr(_NULL_KEY))
+    return null_context(named, KEY, "row_idx", "close")
+
+
+@query(
+    "scale_nulls",
+    f"""WITH {DAILY}, named AS (SELECT {_NULL_KEY} AS asset, row_idx, close FROM daily),
+s AS (SELECT asset, avg(close) AS a, stddev_pop(close) AS d FROM named GROUP BY 1)
+SELECT n.asset, row_idx, round((close - a) / d, 5) + 0.0 AS close_scaled FROM named n JOIN s ON n.asset IS NOT DISTINCT FROM s.asset""",
+)
+def scale_nulls(spark, folder):
+    named = indexed_daily(spark, folder).select(F.expr(_NULL_KEY).alias("asset"), "row_idx", "close")
+    out = apply_scaler(named, fit_standard(named, ["close"], KEY), ["close"], KEY)
+    return out.select("asset", "row_idx", r("close_scaled", 5).alias("close_scaled"))
+
+
+_RUNS = f"""{DAILY}, hot AS (SELECT {_NULL_KEY} AS asset, row_idx, close FROM daily WHERE close >= 200000),
+started AS (SELECT *, coalesce(row_idx - lag(row_idx) OVER (PARTITION BY asset ORDER BY row_idx) > 3, true) AS starts FROM hot),
+runs AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY asset ORDER BY row_idx) AS run FROM started)"""
+
+
+@query(
+    "cascades",
+    f"""WITH {_RUNS} SELECT asset, min(row_idx) AS first, max(row_idx) AS last, count(*) AS n_rows, round(sum(close), 2) AS total, max(close) AS peak
+FROM runs GROUP BY asset, run HAVING count(*) >= 2""",
+)
+def cascades_query(spark, folder):
+    """Days of large orders that follow each other with at most two days between, in chunks of 64 days."""
+    named = indexed_daily(spark, folder).withColumn("asset", F.expr(_NULL_KEY))
+    out = cascades(named, KEY, "row_idx", "close", 200000, least_rows=2, bridge=2, rows=64)
+    return out.withColumn("total", F.round("total", 2))
+
+
+@query(
+    "density",
+    f"""WITH {DAILY}, long AS (SELECT asset, 'close' AS feature, close::DOUBLE AS v FROM daily UNION ALL SELECT asset, 'volume', volume::DOUBLE FROM daily),
+s AS (SELECT asset, feature, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * count(*) ** -0.2 AS h FROM long GROUP BY 1, 2),
+g AS (SELECT *, lo - 2 * h AS start, (hi - lo + 4 * h) / 32 AS step FROM s),
+b AS (SELECT asset, feature, floor((v - start) / step + 0.5)::INTEGER AS bin, count(*) AS c FROM long JOIN g USING (asset, feature) GROUP BY 1, 2, 3),
+p AS (SELECT *, unnest(range(0, 33)) AS point FROM g)
+SELECT asset, feature, point::INTEGER AS point, round(any_value(start + point * step), 4) AS x,
+  round(sum(c * exp(-0.5 * ((point - bin) * step / h) ** 2)) / any_value(n * h * sqrt(2 * pi())) * 1e6, 3) + 0.0 AS density
+FROM p JOIN b USING (asset, feature) GROUP BY asset, feature, point""",
+)
+def density_query(spark, folder):
+    out = density(daily(spark, folder), KEY, ["close", "volume"], points=33)
+    return out.select("asset", "feature", "point", F.round("x", 4).alias("x"), r(F.col("density") * 1e6, 3).alias("density"))
+
+
 @query(
     "null_positions",
     f"""WITH {_HOLED}

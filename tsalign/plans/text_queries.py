@@ -45,6 +45,7 @@ from tsalign.operators.filters import (
 )
 from tsalign.operators.joins import (
     asset_file_report,
+    compare_to_claims,
     join_perp_metrics,
     keep_with_asset_file,
     left_join_on_time,
@@ -662,6 +663,44 @@ def zip_modalities_query(spark, folder):
     )
 
 
+@query(
+    "zip_modalities_nulls",
+    """WITH n AS (SELECT nullif(label % 3, 1) AS asset, vec_id AS row_idx, embedding[1] AS x, label FROM embeddings)
+SELECT asset, row_idx, x, label AS target FROM n""",
+)
+def zip_modalities_nulls(spark, folder):
+    """Rows of an asset without a name."""
+    vectors = load(spark, folder, "embeddings").select(
+        F.expr("nullif(label % 3, 1)").alias("asset"), F.col("vec_id").alias("row_idx"), F.col("embedding")[0].alias("x"), F.col("label").alias("target")
+    )
+    return zip_modalities([vectors.drop("target"), vectors.drop("x")], ["asset", "row_idx"])
+
+
+@query(
+    "modality_counts_nulls",
+    """WITH a AS (SELECT nullif(lang, 'fr') AS lang, count(*) AS rows_0 FROM documents GROUP BY 1),
+b AS (SELECT nullif(lang, 'fr') AS lang, count(*) AS rows_1 FROM documents WHERE n_chars > 1000 GROUP BY 1)
+SELECT a.lang, rows_0, coalesce(rows_1, 0) AS rows_1, rows_0 = coalesce(rows_1, 0) AS equal FROM a LEFT JOIN b ON a.lang IS NOT DISTINCT FROM b.lang""",
+)
+def modality_counts_nulls(spark, folder):
+    named = load(spark, folder, "documents").select(F.expr("nullif(lang, 'fr')").alias("lang"), "n_chars")
+    return modality_counts_match([named, named.where("n_chars > 1000")], ["lang"])
+
+
+@query(
+    "claims_nulls",
+    """WITH a AS (SELECT nullif(lang, 'fr') AS lang, count(*)::DOUBLE AS actual FROM documents GROUP BY 1),
+c AS (SELECT nullif(lang, 'fr') AS lang, count(*)::DOUBLE AS claimed FROM documents WHERE text IS NOT NULL GROUP BY 1 UNION ALL SELECT 'xx', 5.0)
+SELECT coalesce(a.lang, c.lang) AS lang, actual, claimed, actual - claimed AS difference, coalesce(abs(actual - claimed) < 0.01, false) AS ok
+FROM a FULL JOIN c ON a.lang IS NOT DISTINCT FROM c.lang""",
+)
+def claims_nulls(spark, folder):
+    named = load(spark, folder, "documents").select(F.expr("nullif(lang, 'fr')").alias("lang"), "text")
+    count = lambda df, name: df.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias(name))
+    claimed = count(named.where("text IS NOT NULL"), "claimed").unionByName(spark.createDataFrame([("xx", 5.0)], "lang string, claimed double"))
+    return compare_to_claims(count(named, "actual"), claimed, ["lang"])
+
+
 @query(
     "zip_modalities_unequal",
     """WITH a AS (SELECT vec_id % 2 AS asset, vec_id // 2 AS row_idx, embedding[1] AS x FROM embeddings WHERE vec_id % 3 <> 0),
