@@ -17,17 +17,17 @@ def _sources(spark, folder) -> Sources:
     """Rates for each asset, a daily index, hourly macro counts with every fourth hour twice, texts and charts."""
     events = load(spark, folder, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
     kind = F.col("event_type")
-    funding = events.where("user_id % 3 = 0").groupBy(kind.alias("asset"), "timestamp").agg(F.max("value").alias("funding_rate"))
-    index = events.where("user_id % 5 = 1").groupBy(F.date_trunc("day", "ts").alias("timestamp")).agg(
+    funding = events.groupBy(kind.alias("asset"), "timestamp").agg(F.max("value").alias("funding_rate"))
+    index = events.groupBy(F.date_trunc("day", "ts").alias("timestamp")).agg(
         F.floor(F.max("value")).cast("int").alias("fear_greed_value"), F.lit("Known").alias("fear_greed_class")
     )
-    hours = events.where("user_id % 2 = 0").groupBy(F.date_trunc("hour", "ts").alias("timestamp")).agg(
+    hours = events.groupBy(F.date_trunc("hour", "ts").alias("timestamp")).agg(
         F.count_if(kind == "view").alias("gdelt_econ_volume"),
         F.max(F.when(kind == "view", F.col("value"))).alias("gdelt_econ_tone"),
         F.count_if(kind == "error").alias("gdelt_conflict_volume"),
     )
     again = hours.where("hour(timestamp) % 4 = 0").withColumn("gdelt_econ_volume", F.col("gdelt_econ_volume") + 1)
-    news = events.where("event_id % 3 = 0").select("timestamp", F.col("props").alias("text_content"), F.col("event_id").alias("_line"))
+    news = events.select("timestamp", F.col("props").alias("text_content"), F.col("event_id").alias("_line"))
     manifest = events.where("value > 5").select(kind.alias("asset"), F.unix_seconds(F.date_trunc("hour", "ts")).alias("unix_ts")).distinct()
     return Sources(bars(spark, folder), funding, index, hours.unionByName(again), news, manifest)
 
@@ -35,13 +35,13 @@ def _sources(spark, folder) -> Sources:
 @query(
     "align",
     f"""WITH {BARS},
-funding AS (SELECT event_type AS asset, ts, max(value) AS funding_rate FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2),
-index_ AS (SELECT date_trunc('day', ts) AS ts, CAST(floor(max(value)) AS INTEGER) AS v FROM events WHERE user_id % 5 = 1 GROUP BY 1),
+funding AS (SELECT event_type AS asset, ts, max(value) AS funding_rate FROM events GROUP BY 1, 2),
+index_ AS (SELECT date_trunc('day', ts) AS ts, CAST(floor(max(value)) AS INTEGER) AS v FROM events GROUP BY 1),
 hours AS (SELECT date_trunc('hour', ts) AS timestamp, count(*) FILTER (event_type = 'view') AS econ,
-  max(value) FILTER (event_type = 'view') AS tone, count(*) FILTER (event_type = 'error') AS conflict FROM events WHERE user_id % 2 = 0 GROUP BY 1),
+  max(value) FILTER (event_type = 'view') AS tone, count(*) FILTER (event_type = 'error') AS conflict FROM events GROUP BY 1),
 macro AS (FROM hours UNION ALL SELECT timestamp, econ + 1, tone, conflict FROM hours WHERE hour(timestamp) % 4 = 0),
 news AS (SELECT date_trunc('hour', ts) AS timestamp, coalesce(string_agg(props, ' [SEP] ' ORDER BY event_id), '') AS text_content
-  FROM events WHERE event_id % 3 = 0 GROUP BY 1),
+  FROM events GROUP BY 1),
 charts AS (SELECT DISTINCT event_type AS asset, date_trunc('hour', ts) AS timestamp FROM events WHERE value > 5),
 rated AS (SELECT b.*, f.funding_rate FROM bars b ASOF LEFT JOIN funding f ON b.asset = f.asset AND b.timestamp >= f.ts),
 firsts AS (SELECT asset, min(timestamp) AS first FROM bars GROUP BY 1),
