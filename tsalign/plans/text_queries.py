@@ -16,6 +16,7 @@ from tsalign.functions.text import (
     text_hash,
     token_count,
 )
+from tsalign.functions.mentions import mention_share, mentions
 from tsalign.functions.subwords import BytePairs, WordPieces, token_count_subword
 from tsalign.functions.time import floor_hour, from_millis, from_seconds, parse_iso, to_numeric
 from tsalign.operators.durable import durable, scratch_folder
@@ -68,6 +69,7 @@ from tsalign.plans.registry import query
 from tsalign.plans.series_queries import _SPLIT
 from tsalign.plans.tables import BARS, STAMP, bars, load, r, stamp
 from tsalign.sources import committed
+from tsalign.sources.bucketed import write_bucketed, zip_bucketed
 from tsalign.sources.files import month_paths
 
 # --- text -------------------------------------------------------------------
@@ -145,6 +147,37 @@ def asset_mention_share_query(spark, folder):
     return out.select("asset", F.round("share_pct", 4).alias("share_pct"))
 
 
+# Search terms by a rule: every pair of these syllables as one word and as two, named by the first.
+_SYLLABLES = [
+    "an", "at", "au", "ber", "ble", "ch", "ed", "en", "er", "es", "ge", "he", "ie", "in", "ing", "it",
+    "le", "les", "ly", "ment", "nd", "on", "or", "ou", "que", "re", "sch", "st", "th", "ti", "tion", "ung",
+]
+TERMS = {a: [a + gap + b for b in _SYLLABLES for gap in ("", " ")] for a in _SYLLABLES}
+
+
+def _mentions_sql() -> str:
+    found = ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b(?:{'|'.join(words)})\\b') THEN '{name}' END" for name, words in TERMS.items())
+    return f"SELECT doc_id, list_filter([{found}], lambda x: x IS NOT NULL) AS names FROM documents"
+
+
+@query("mentions", f"SELECT doc_id, list_aggregate(names, 'string_agg', ',') AS names FROM ({_mentions_sql()})")
+def mentions_query(spark, folder):
+    """Two thousand terms of 32 names in one pass over each text."""
+    found = load(spark, folder, "documents").select("doc_id", mentions(F.col("text"), TERMS).alias("names"))
+    return found.select("doc_id", F.when(F.size("names") > 0, F.array_join("names", ",")).alias("names"))
+
+
+@query(
+    "mention_share",
+    f"WITH found AS ({_mentions_sql()}), n AS (SELECT unnest({list(TERMS)}) AS name) "
+    "SELECT name, (SELECT count(*) FROM found WHERE list_contains(names, name)) AS n, "
+    "round((SELECT count(*) FILTER (list_contains(names, name)) * 100.0::DOUBLE / count(*) FROM found), 4) AS share_pct FROM n",
+)
+def mention_share_query(spark, folder):
+    found = load(spark, folder, "documents").select(mentions(F.col("text"), TERMS).alias("names"))
+    return mention_share(found, "names", list(TERMS)).withColumn("share_pct", F.round("share_pct", 4))
+
+
 @query("text_hash", "SELECT doc_id, sha256(lower(text)) AS text_hash FROM documents")
 def text_hash_query(spark, folder):
     return load(spark, folder, "documents").select("doc_id", text_hash(F.col("text")).alias("text_hash"))
@@ -663,6 +696,23 @@ def zip_modalities_query(spark, folder):
     )
 
 
+@query(
+    "zip_modalities_bucketed",
+    """SELECT 'A' || (vec_id % 2) AS asset, 'train' AS split, vec_id // 2 AS row_idx, round(list_sum(embedding[1:32]::DOUBLE[]), 5) + 0.0 AS text_sum,
+  round(list_sum(embedding[33:64]::DOUBLE[]), 5) + 0.0 AS image_sum, label AS target FROM embeddings""",
+)
+def zip_modalities_bucketed(spark, folder):
+    """The same rows from tables that were bucketed by row key when they were written."""
+    total = lambda c: r(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double")), 5)
+    names = []
+    for table in _modalities(spark, folder):
+        names.append(f"features_{uuid.uuid4().hex}")
+        write_bucketed(table, names[-1], f"{scratch_folder(spark)}/{names[-1]}", ["asset", "split", "row_idx"], buckets=16)
+    return zip_bucketed(spark, names).select(
+        "asset", "split", "row_idx", total("text_embedding").alias("text_sum"), total("image_embedding").alias("image_sum"), "target"
+    )
+
+
 @query(
     "zip_modalities_nulls",
     """WITH n AS (SELECT nullif(label % 3, 1) AS asset, vec_id AS row_idx, embedding[1] AS x, label FROM embeddings)
@@ -703,14 +753,14 @@ def claims_nulls(spark, folder):
 
 @query(
     "zip_modalities_unequal",
-    """WITH a AS (SELECT vec_id % 2 AS asset, vec_id // 2 AS row_idx, embedding[1] AS x FROM embeddings WHERE vec_id % 3 <> 0),
-b AS (SELECT vec_id % 2 AS asset, vec_id // 2 AS row_idx, label AS target FROM embeddings WHERE vec_id % 5 <> 0)
+    """WITH a AS (SELECT vec_id % 2 AS asset, vec_id // 2 AS row_idx, embedding[1] AS x FROM embeddings WHERE embedding[1] > -0.1),
+b AS (SELECT vec_id % 2 AS asset, vec_id // 2 AS row_idx, label AS target FROM embeddings WHERE embedding[2] > -0.1)
 SELECT asset, row_idx, x, target FROM a FULL JOIN b USING (asset, row_idx)""",
 )
 def zip_modalities_unequal(spark, folder):
     vectors = load(spark, folder, "embeddings").withColumns({"asset": F.col("vec_id") % 2, "row_idx": F.floor(F.col("vec_id") / 2)})
-    left = vectors.where("vec_id % 3 <> 0").select("asset", "row_idx", F.col("embedding")[0].alias("x"))
-    right = vectors.where("vec_id % 5 <> 0").select("asset", "row_idx", F.col("label").alias("target"))
+    left = vectors.where("embedding[0] > -0.1").select("asset", "row_idx", F.col("embedding")[0].alias("x"))
+    right = vectors.where("embedding[1] > -0.1").select("asset", "row_idx", F.col("label").alias("target"))
     return zip_modalities([left, right], ["asset", "row_idx"], missing="null")
 
 
