@@ -2,9 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, and
 sorting all values moves the whole table. Here one aggregate sketches every
-group, one counts the values below each bracket, and the few values inside
-(about one in a thousand of a large group) are counted, range-sorted and ranked
-by the number of rows before their partition.
+group, and a second reads the values once more: it counts those below each
+bracket as one and the few inside (about one in a thousand of a large group)
+each. The counts are range-sorted and ranked by the number of rows before their
+partition.
 """
 
 from __future__ import annotations
@@ -53,21 +54,17 @@ def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict
     ]
     brackets = durable(sketch.select(*keys, F.array(*brackets).alias("_brackets")), "brackets")
 
-    near = join_keys(values, brackets, keys)
     value = F.col("value")
-    below = near.groupBy(*keys).agg(
-        *[F.count_if(value < F.col("_brackets")[i]["low"]).alias(f"_below_{i}") for i in range(len(probs))]
-    )
-    below = below.select(*keys, F.array(*[F.col(f"_below_{i}") for i in range(len(probs))]).alias("_below"))
-    inside = F.filter("_brackets", lambda b: (value >= b["low"]) & (value <= b["high"]))
-    inside = near.select(*keys, "value", F.explode(inside).alias("_b")).select(*keys, "value", "_b.which", "_b.rank")
-    counted = inside.groupBy(*keys, "which", "rank", "value").agg(F.count(F.lit(1)).alias("rows"))
+    # what lies below a bracket is counted as one NULL, which sorts before the values inside: one pass for both
+    met = F.filter("_brackets", lambda b: value <= b["high"])
+    met = join_keys(values, brackets, keys).select(*keys, "value", F.explode(met).alias("_b"))
+    met = met.select(*keys, "_b.which", "_b.rank", F.when(value >= F.col("_b.low"), value).alias("value"))
+    counted = met.groupBy(*keys, "which", "rank", "value").agg(F.count(F.lit(1)).alias("rows"))
     counted = arrange(counted, [*keys, "which"], ["value"])
 
     slots = [*keys, "which"]
     parts = counted.groupBy(*slots, "_part").agg(F.sum("rows").alias("_n"))
     parts = parts.select(*slots, "_part", F.coalesce(F.sum("_n").over(earlier(slots, "_part")), F.lit(0)).alias("_before"))
-    parts = join_keys(parts, below, keys).select(*slots, "_part", (F.col("_before") + F.col("_below")[F.col("which")]).alias("_before"))
     parts = durable(parts, "parts")
 
     ranked = join_keys(counted, parts, [*slots, "_part"])
