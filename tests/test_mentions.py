@@ -42,6 +42,12 @@ def test_many_terms(spark):
     assert rows == [["n7", "n999"], []]
 
 
+def test_quotes(spark):
+    terms = {"it's": ["o'b", "a\\b"], "back\\": ["a\\b", "a\nb"]}
+    df = spark.createDataFrame([("o'b",), ("x a\\b",), ("a\nb",), ("a b",)], "text string")
+    assert [r[0] for r in df.select(mentions(F.col("text"), terms)).collect()] == [["it's"], ["back\\", "it's"], ["back\\"], []]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([("a",), (None,)], "text string")
     assert [r[0] for r in df.select(mentions(F.col("text"), {})).collect()] == [[], []]

@@ -25,6 +25,10 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _terms(terms: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     """The names of each lower-cased term."""
     names = defaultdict(set)
@@ -64,7 +68,9 @@ def mentions(c: Column, terms: Mapping[str, Sequence[str]]) -> Column:
             return F.filter(F.flatten(spans), lambda s: s.isin(list(known)))
 
         hits = _bound(F.regexp_extract_all(low, F.lit(f"({_PIECE})"), 1), found)
-    named = F.create_map(*[x for term, names in known.items() for x in (F.lit(term), F.array(*[F.lit(n) for n in names]))])
+    # as one SQL text, since single literals cost the driver a call each
+    pairs = [f"{_quoted(term)}, array({', '.join(map(_quoted, names))})" for term, names in known.items()]
+    named = F.expr(f"map({', '.join(pairs)})")
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(hits), lambda t: F.element_at(named, t)))))
 
 
