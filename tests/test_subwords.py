@@ -86,6 +86,34 @@ def test_the_memory_of_words_is_bounded(monkeypatch):
     assert t.counts(["a b ab abc ba c a"]) == [1 + 1 + 1 + 1 + 2 + 1 + 1] and len(t._known) <= 3
 
 
+def test_memory_does_not_grow_with_the_words_of_a_batch(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr("tsalign.functions.subwords.REMEMBERED", 100)
+    t = WordPieces(PIECES)
+    texts = (" ".join(f"ab{i}x{j}" for j in range(100)) for i in range(500))
+    tracemalloc.start()
+    try:
+        got = t.counts(texts)
+        assert tracemalloc.get_traced_memory()[1] < 500_000
+        assert got == [100] * 500
+        # a long word is cut, not kept; words that come again are
+        assert t.counts(["c" + "a" * 1_000_000, "abcab abcab", "abcab"]) == [1, 6, 3]
+        assert tracemalloc.get_traced_memory()[0] < 500_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_word_is_cut_anew_only_after_both_memories_forgot_it(monkeypatch):
+    monkeypatch.setattr("tsalign.functions.subwords.REMEMBERED", 3)
+    t, cut = WordPieces(PIECES), []
+    monkeypatch.setattr(t, "cut", lambda word, f=t.cut: cut.append(word) or f(word))
+    assert t.counts(["a b ab abc a ba bab aba a"]) == [1 + 1 + 1 + 1 + 1 + 2 + 3 + 2 + 1]
+    assert cut.count("a") == 1 and len(t._known) <= 3 and len(t._older) <= 3
+    many = [f"a{'b' * n}" for n in range(50)]
+    assert t.counts([" ".join(many)] * 2) == [sum(len(WordPieces(PIECES).cut(w)) for w in many)] * 2
+
+
 def test_long_words_take_little_time():
     t = BytePairs({**{bytes([i]): i for i in range(256)}, b"ab": 256, b"abab": 257})
     assert t.counts(["ab" * 100_000]) == [50_000]
