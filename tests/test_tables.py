@@ -272,6 +272,33 @@ def test_baseline(spark, kind):
     assert regression_metrics(got, target="y").first().r2 > (0.999 if kind == "linear" else 0.9)
 
 
+def test_trees_read_rows_of_equal_features_once(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    n = F.col("id")
+    df = spark.range(9000).select((n * n % 23).cast("double").alias("a"), (n % 7).cast("double").alias("b"), (n * 37 % 1009).cast("double").alias("e"))
+    df = df.withColumn("y", F.col("a") * 10 - F.col("b") * F.col("a") + F.col("e") / 100)
+    # as many rows as the plain fit reads without a sample
+    plain = GBTRegressor(featuresCol="x", labelCol="y", maxIter=20, seed=42).fit(df.withColumn("x", array_to_vector(F.array("a", "b"))))
+    want = {(r.a, r.b): r.prediction for r in plain.transform(df.withColumn("x", array_to_vector(F.array("a", "b")))).collect()}
+    read, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows: read.append(rows.count()) or fit(self, rows))
+    got = tabular_baseline(df, df, ["a", "b"], "y", "trees").collect()
+    assert len(got) == 9000 and read == [len(want)]
+    np.testing.assert_allclose([r.prediction for r in got], [want[r.a, r.b] for r in got], rtol=1e-9)
+    with pytest.raises(Exception, match="(?i)null"):
+        tabular_baseline(df.withColumn("y", F.when(F.col("e") != 1, F.col("y"))), df, ["a", "b"], "y", "trees")
+
+
+def test_trees_do_not_depend_on_the_partitions(spark):
+    n = F.col("id")
+    df = spark.range(30000).select((n * n % 211).cast("double").alias("a"), (n * n * n % 1009).cast("double").alias("y"))
+    a, b = ({r.a: r.prediction for r in tabular_baseline(df.repartition(k), df, ["a"], "y", "trees").collect()} for k in (3, 7))
+    assert a.keys() == b.keys()
+    np.testing.assert_allclose([a[k] for k in a], [b[k] for k in a], rtol=1e-9)
+
+
 def test_prompt(spark):
     row = (0.5, 1234567.0, 0.0001, 40, 3, -1.5, 2, "n" * 600, 12.34)
     df = spark.createDataFrame([row], "return_1h double, volume double, funding_rate double, fear_greed_value int, gdelt_econ_volume long, gdelt_econ_tone double, gdelt_conflict_volume long, text_content string, target_score double")

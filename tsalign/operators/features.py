@@ -169,19 +169,30 @@ def tabular_baseline(
 
     ``features`` are numeric columns or one array column; ``kind`` is
     ``linear`` (closed-form, one pass) or ``trees`` (gradient boosting, ``rounds`` trees).
+    Trees read ``train`` once: rows of equal features become one row with their mean
+    target, weighted by their number. Under squared error that changes neither the
+    gain of a split nor the value of a leaf, and each of the many passes over the
+    training rows is over the distinct features. Quantiles for the splits come from
+    all rows then, unless more than 10,000 features are distinct.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
     vector: Column = F.col(features) if isinstance(features, str) else F.array(*features)
-    ready = lambda df: df.withColumn("_x", array_to_vector(vector.cast("array<double>")))
+    values = vector.cast("array<double>")
+    ready = lambda df: df.withColumn("_x", array_to_vector(values))
+    fitted = ready(train)
     if kind == "linear":
         model = LinearRegression(featuresCol="_x", labelCol=target, solver="normal")
     elif kind == "trees":
-        model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, seed=42)
+        # a group with a NULL target keeps NULL, which the fit refuses
+        mean = F.when(F.count(target) == F.count(F.lit(1)), F.avg(F.col(target).cast("double")))
+        groups = train.groupBy(values.alias("_values")).agg(mean.alias("_y"), F.count(F.lit(1)).cast("double").alias("_n"))
+        fitted = durable(groups, "groups").select(array_to_vector("_values").alias("_x"), "_y", "_n")
+        model = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_n", maxIter=rounds, seed=42)
     else:
         raise ValueError(f"unknown kind: {kind}")
-    return model.fit(ready(train)).transform(ready(test)).drop("_x")
+    return model.fit(fitted).transform(ready(test)).drop("_x")
 
 
 def format_prompt(text_chars: int | None = None, name: str = "prompt", **columns: str) -> Column:
